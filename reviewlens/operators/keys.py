@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.schemas import NEGATIVE, POSITIVE
+
 _HASH_BUCKETS = 1 << 16
 
 
@@ -71,7 +73,7 @@ def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quo
 
 
 def _within_cutoff(df: DataFrame, groups: Sequence[str], key: str, seed: int, cutoffs: DataFrame) -> DataFrame:
-    joined = df.join(F.broadcast(cutoffs), list(groups), "left") if groups else df.crossJoin(F.broadcast(cutoffs))
+    joined = df.join(F.broadcast(cutoffs), list(groups), "left")
     hashed = F.xxhash64(F.col(key), F.lit(seed))
     bucket = F.pmod(F.shiftright(hashed, 47), F.lit(_HASH_BUCKETS * 2))
     position = F.struct(bucket.alias("b"), hashed.alias("h"), F.col(key).alias("k"))
@@ -108,12 +110,18 @@ def split_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42
+    df: DataFrame,
+    label: str,
+    key: str,
+    test_share: float = 0.2,
+    seed: int = 42,
+    labels: Sequence[str] = (NEGATIVE, POSITIVE),
 ) -> DataFrame:
     """Mark an exact, repeatable stratified test set in a new column ``is_test``.
 
-    ``label`` is meant to have few values: one quota row each is broadcast.
+    Rows with another label are dropped; one quota row per listed label is broadcast.
     """
+    df = df.where(F.col(label).isin(list(labels)))
     quotas = split_quotas(df, label, test_share).select(label, "quota")
     cutoffs = _hash_cutoffs(df, [label], key, seed, quotas)
     return _within_cutoff(df, [label], key, seed, cutoffs).withColumnRenamed("_inside", "is_test")
