@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import word_tokens
-from reviewlens.operators.tfidf import term_counts, unit_vectors, vocabulary
+from reviewlens.operators.tfidf import smoothed_idf, term_counts, term_totals, unit_vectors, vocabulary
 from reviewlens.sources.scratch import materialise
 
 THRESHOLD = 0.90
@@ -49,11 +49,11 @@ def document_vectors(
     docs = docs.where(F.col(text).isNotNull())
     counts = term_counts(docs, key, word_tokens(F.col(text)))
     size = docs.agg(F.count(F.lit(1)).alias("documents"))
-    terms = vocabulary(counts, size, max_features)
+    terms = vocabulary(term_totals(counts), max_features)
     # The vocabulary is bounded by max_features, so one task ranks it and every task gets it.
     ranked = terms.select(
         "term",
-        "idf",
+        smoothed_idf(F.col("df"), size.scalar()).alias("idf"),
         (F.row_number().over(Window.orderBy("df", "term")) - 1).alias("rank"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("vocabulary"),
     )

@@ -22,24 +22,27 @@ def term_counts(docs: DataFrame, key: str, words: Column, *keep: str) -> DataFra
     )
 
 
-def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int, *groups: str) -> DataFrame:
-    """``(*groups, term, total, df, idf)``, at most ``max_features`` rows per group.
-
-    ``documents`` holds the number of documents in ``documents`` per group (one row
-    when there are no groups).
-    """
-    totals = counts.groupBy(*groups, "term").agg(
+def term_totals(counts: DataFrame, *groups: str) -> DataFrame:
+    """``(*groups, term, total, df)`` from term counts."""
+    return counts.groupBy(*groups, "term").agg(
         F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
     )
-    if groups:
-        order = Window.partitionBy(*groups).orderBy(F.desc("total"), F.asc("term"))
-        kept = totals.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_features)
-        kept = kept.drop("_rank").join(documents, list(groups))
-        size = F.col("documents")
-    else:
-        kept = totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-        size = documents.scalar()
-    return kept.select(*groups, "term", "total", "df", (F.ln((1 + size) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def smoothed_idf(df: Column, documents: Column) -> Column:
+    return F.ln((1 + documents) / (1 + df)) + 1
+
+
+def vocabulary(totals: DataFrame, max_features: int) -> DataFrame:
+    """The most frequent terms of one corpus."""
+    return totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+
+
+def vocabulary_per_group(totals: DataFrame, max_features: int, *groups: str) -> DataFrame:
+    """The most frequent terms of each group."""
+    order = Window.partitionBy(*groups).orderBy(F.desc("total"), F.asc("term"))
+    ranked = totals.withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= max_features).drop("_rank")
 
 
 def unit_vectors(weighted: DataFrame, key: str, entry: Column, *keep: str) -> DataFrame:
