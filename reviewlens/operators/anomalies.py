@@ -9,14 +9,20 @@ from reviewlens.functions.rules import flag_reason, is_mismatch, is_repetitive,
 from reviewlens.functions.values import percentage
 
 
-def flag_spam(reviews: DataFrame, duplicate_ids: DataFrame, text: str = "review_text") -> DataFrame:
+def flag_spam(
+    reviews: DataFrame, duplicate_ids: DataFrame | None, text: str = "review_text"
+) -> DataFrame:
     """Add ``is_short``, ``is_repetitive``, ``is_duplicate``, ``is_spam`` and ``flag_reason``.
 
-    ``duplicate_ids`` holds the ``review_id`` of every near-duplicate once.
+    ``duplicate_ids`` holds the ``review_id`` of every near-duplicate once; without it
+    only the two rules on the text itself apply.
     """
-    marked = reviews.join(
-        duplicate_ids.select("review_id", F.lit(True).alias("_dup")), "review_id", "left"
-    )
+    if duplicate_ids is None:
+        marked = reviews.withColumn("_dup", F.lit(False))
+    else:
+        marked = reviews.join(
+            duplicate_ids.select("review_id", F.lit(True).alias("_dup")), "review_id", "left"
+        )
     short, repetitive, duplicate = F.col("is_short"), F.col("is_repetitive"), F.col("is_duplicate")
     return (
         marked.withColumns(

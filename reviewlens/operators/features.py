@@ -47,6 +47,24 @@ def clean_reviews_with_lemmas(
     return counted.drop("_tokens").join(texts.select(key, joined.alias("clean_text")), key)
 
 
+def plural_lemmas(words: DataFrame, token: str = "token") -> DataFrame:
+    """``(token, lemma)`` for words in -s, -es and -ies whose stem is itself among ``words``."""
+    known = words.select(F.col(token).alias("token")).distinct()
+    stems = F.array(
+        F.struct(F.lit(0).alias("order"), F.regexp_extract("token", "^(.+)ies$", 1).alias("stem"), F.lit("y").alias("end")),
+        F.struct(F.lit(1).alias("order"), F.regexp_extract("token", "^(.+)es$", 1).alias("stem"), F.lit("").alias("end")),
+        F.struct(F.lit(2).alias("order"), F.regexp_extract("token", "^(.+[^s])s$", 1).alias("stem"), F.lit("").alias("end")),
+    )
+    proposed = (
+        known.where(F.col("token").endswith("s"))
+        .select("token", F.inline(stems))
+        .where(F.col("stem") != "")
+        .select("token", "order", F.concat("stem", "end").alias("lemma"))
+    )
+    valid = proposed.join(known.select(F.col("token").alias("lemma")), "lemma")
+    return valid.groupBy("token").agg(F.min_by("lemma", "order").alias("lemma"))
+
+
 def filtered_out(reviews: DataFrame, cleaned: DataFrame) -> DataFrame:
     """One row: reviews before and after the length rule and the difference."""
     before = reviews.agg(F.count(F.lit(1)).alias("before"))

@@ -42,9 +42,12 @@ def lexicon_probability(words: Column, weights: Mapping[str, float] = SENTIMENT_
     for word, weight in weights.items():
         by_weight[weight].append(word)
 
+    def hits(listed: list[str]) -> Column:
+        return F.size(F.filter(words, lambda t: t.isin(listed)))
+
     def total(sign: int) -> Column:
         parts = [
-            F.lit(abs(weight)) * F.size(F.filter(words, lambda t, listed=listed: t.isin(listed)))
+            F.lit(abs(weight)) * hits(listed)
             for weight, listed in sorted(by_weight.items())
             if weight * sign > 0
         ]

@@ -21,6 +21,7 @@ def build_session(master: str, shuffle_partitions: int, **extra: str) -> SparkSe
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }
     for key, value in options.items():

@@ -46,7 +46,8 @@ def stream_uploads(
     Results go to ``out/scored/batch=N`` and one row per batch to ``out/job_status``.
     A batch that is tried again overwrites its own folder.
     """
-    source = spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder)
+    reader = spark.readStream.schema(schema).option("header", True).option("multiLine", True)
+    source = reader.option("escape", '"').csv(folder)
 
     def handle(batch: DataFrame, number: int) -> None:
         target = f"{out}/scored/batch={number}"
