@@ -17,6 +17,7 @@ from reviewlens.functions.rules import weak_label, weak_label_index
 from reviewlens.functions.text import WORD
 from reviewlens.operators.evaluation import accuracy_and_macro_f1, roc_auc
 from reviewlens.operators.keys import stratified_split
+from reviewlens.sources.scratch import materialise
 
 MAX_FEATURES = 50_000
 
@@ -68,7 +69,11 @@ def estimators(rows: int) -> Mapping[str, object]:
 def fit_baselines(train: DataFrame, max_features: int = MAX_FEATURES) -> dict[str, PipelineModel]:
     """Fit every baseline on ``(text, label)``; each result scores raw text."""
     features = fit_tfidf(train, max_features)
-    data = features.transform(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    data = features.transform(train).select("label", "features")
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
         return {
@@ -116,7 +121,11 @@ def compare_baselines(
     seed: int = 42,
     max_features: int = MAX_FEATURES,
 ) -> DataFrame:
-    """Split, fit all baselines on the training part and measure them on the test part."""
-    rows = stratified_split(training_rows(reviews, key, text), "sentiment", key, test_share, seed)
-    models = fit_baselines(rows.where(~F.col("is_test")), max_features)
-    return metrics_table(predict(models, rows.where("is_test")))
+    """Split, fit all baselines on the training part and measure them on the test part.
+
+    The training rows are written once: fitting passes over them many times.
+    """
+    rows = materialise(training_rows(reviews, key, text), "training")
+    split = stratified_split(rows, "sentiment", key, test_share, seed)
+    models = fit_baselines(split.where(~F.col("is_test")), max_features)
+    return metrics_table(predict(models, split.where("is_test")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.schemas import NEGATIVE, POSITIVE
+from reviewlens.sources.scratch import materialise
 
 _HASH_BUCKETS = 1 << 16
 
@@ -73,6 +74,8 @@ def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quo
 
 
 def _within_cutoff(df: DataFrame, groups: Sequence[str], key: str, seed: int, cutoffs: DataFrame) -> DataFrame:
+    # One row per group: written once, so that later actions on the result do not rank again.
+    cutoffs = materialise(cutoffs, "cutoffs")
     joined = df.join(F.broadcast(cutoffs), list(groups), "left")
     hashed = F.xxhash64(F.col(key), F.lit(seed))
     bucket = F.pmod(F.shiftright(hashed, 47), F.lit(_HASH_BUCKETS * 2))
