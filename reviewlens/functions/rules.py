@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlens.functions.lexicons import ASPECTS
-from reviewlens.functions.text import SPACE, WORD, tokens, word_count
+from reviewlens.functions.text import SPACE, WORD, bound, tokens, word_count
 from reviewlens.schemas import NEGATIVE, POSITIVE
 
 
@@ -40,9 +40,12 @@ def is_too_short(text: Column, min_words: int = 3) -> Column:
 
 def is_repetitive(text: Column, threshold: float = 0.5) -> Column:
     """More than ``threshold`` of the tokens repeat an earlier one."""
-    words = tokens(F.lower(text))
-    repeated = 1 - F.try_divide(F.size(F.array_distinct(words)), F.size(words))
-    return known((F.size(words) > 1) & (repeated > threshold))
+
+    def repeats(words: Column) -> Column:
+        share = 1 - F.try_divide(F.size(F.array_distinct(words)), F.size(words))
+        return (F.size(words) > 1) & (share > threshold)
+
+    return known(bound(tokens(F.lower(text)), repeats))
 
 
 def keep_short_opinions(is_spam: Column, text: Column, rating: Column, max_chars: int = 30) -> Column:
@@ -68,16 +71,34 @@ def phrase_pattern(phrases: Sequence[str]) -> str:
 
 
 def aspects_of(text: Column, aspects: Mapping[str, Sequence[str]] = ASPECTS) -> Column:
-    """Names of the aspects mentioned, in dictionary order."""
-    found = [
-        F.when(text.rlike(phrase_pattern(phrases)), F.lit(name)) for name, phrases in aspects.items()
-    ]
-    return F.array_compact(F.array(*found))
+    """Names of the aspects mentioned, in dictionary order.
+
+    Single words are looked up in the set of words of the text. The pattern of a phrase
+    of several words is tried only where the phrase occurs at all.
+    """
+    lowered = F.lower(text)
+    single = {name: [p.lower() for p in phrases if " " not in p] for name, phrases in aspects.items()}
+    several = {name: [p.lower() for p in phrases if " " in p] for name, phrases in aspects.items()}
+    listed = F.array(*[F.lit(word) for words in single.values() for word in words])
+
+    def names(words: Column) -> Column:
+        found = []
+        for name in aspects:
+            hit = F.arrays_overlap(words, F.array(*[F.lit(word) for word in single[name]]))
+            for phrase in several[name]:
+                hit = hit | (F.contains(lowered, F.lit(phrase)) & lowered.rlike(phrase_pattern([phrase])))
+            found.append(F.when(hit, F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    words = F.regexp_extract_all(lowered, F.lit(f"[{WORD}]+"), 0)
+    return bound(F.array_intersect(words, listed), names)
 
 
 def aspects_or_general(text: Column, aspects: Mapping[str, Sequence[str]] = ASPECTS) -> Column:
-    found = aspects_of(text, aspects)
-    return F.when(F.size(found) == 0, F.array(F.lit("General"))).otherwise(found)
+    return bound(
+        aspects_of(text, aspects),
+        lambda found: F.when(F.size(found) == 0, F.array(F.lit("General"))).otherwise(found),
+    )
 
 
 def mentions(text: Column, term: str) -> Column:

@@ -6,7 +6,7 @@ while reviews come in every script.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ _TAG = r"(?d)<.*?>"
 SPLIT_WORDS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na")]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once although ``use`` mentions it repeatedly."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def strip_urls(c: Column) -> Column:
     return F.regexp_replace(c, _URL, "")
 
@@ -122,7 +127,9 @@ def feature_text(
 ) -> Column:
     """Full feature preprocessing; empty text when fewer than ``min_tokens`` tokens remain."""
     words = lemmatise(feature_tokens(c, stop_words), lemmas or {})
-    return F.when(F.size(words) < min_tokens, F.lit("")).otherwise(F.array_join(words, " "))
+    return bound(
+        words, lambda w: F.when(F.size(w) < min_tokens, F.lit("")).otherwise(F.array_join(w, " "))
+    )
 
 
 def keyword_tokens(c: Column, stop_words: Iterable[str] = STOP_WORDS, min_length: int = 3) -> Column:
@@ -134,5 +141,11 @@ def word_count(c: Column) -> Column:
     return F.size(tokens(F.coalesce(c, F.lit(""))))
 
 
+def squeezed_word_count(c: Column) -> Column:
+    """Word count of text that is already squeezed."""
+    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(0)).otherwise(spaces + 1)
+
+
 def char_length(c: Column) -> Column:
     return F.length(c)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.lexicons import STOP_WORDS
 from reviewlens.functions.text import feature_text, feature_tokens
+from reviewlens.operators.columns import with_computed
 
 
 def clean_reviews(
@@ -18,7 +19,7 @@ def clean_reviews(
     min_tokens: int = 5,
 ) -> DataFrame:
     """Reviews with ``clean_text``, without those that have too few tokens left."""
-    cleaned = reviews.withColumn("clean_text", feature_text(F.col(text), stop_words, None, min_tokens))
+    cleaned = with_computed(reviews, "clean_text", feature_text(F.col(text), stop_words, None, min_tokens))
     return cleaned.where(F.col("clean_text") != "")
 
 
@@ -35,7 +36,7 @@ def clean_reviews_with_lemmas(
     Token rows stay in the partitioning of ``key``, which is unique; Spark broadcasts
     the lemma table when it is small.
     """
-    counted = reviews.withColumn("_tokens", feature_tokens(F.col(text), stop_words)).where(
+    counted = with_computed(reviews, "_tokens", feature_tokens(F.col(text), stop_words)).where(
         F.size("_tokens") >= min_tokens
     )
     rows = counted.select(key, F.posexplode("_tokens").alias("_pos", "token"))

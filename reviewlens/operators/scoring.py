@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.lexicons import SENTIMENT_WEIGHTS
-from reviewlens.functions.text import clean_for_model, word_tokens
+from reviewlens.functions.text import bound, clean_for_model, word_tokens
 from reviewlens.functions.values import confidence_of, label_of, score_map, softmax_positive
+from reviewlens.operators.columns import with_computed
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -24,7 +25,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 def _with_scores(df: DataFrame, positive_probability: Column) -> DataFrame:
     p = F.col("_p")
     return (
-        df.withColumn("_p", positive_probability)
+        with_computed(df, "_p", positive_probability)
         .withColumns(
             {
                 "sentiment_label": label_of(p),
@@ -42,18 +43,22 @@ def lexicon_probability(words: Column, weights: Mapping[str, float] = SENTIMENT_
     for word, weight in weights.items():
         by_weight[weight].append(word)
 
-    def hits(listed: list[str]) -> Column:
-        return F.size(F.filter(words, lambda t: t.isin(listed)))
+    def probability(known: Column) -> Column:
+        def hits(listed: list[str]) -> Column:
+            return F.size(F.filter(known, lambda t: t.isin(listed)))
 
-    def total(sign: int) -> Column:
-        parts = [
-            F.lit(abs(weight)) * hits(listed)
-            for weight, listed in sorted(by_weight.items())
-            if weight * sign > 0
-        ]
-        return sum(parts, F.lit(0.0))
+        def total(sign: int) -> Column:
+            parts = [
+                F.lit(abs(weight)) * hits(listed)
+                for weight, listed in sorted(by_weight.items())
+                if weight * sign > 0
+            ]
+            return sum(parts, F.lit(0.0))
+
+        return softmax_positive(total(-1), total(1))
 
-    return softmax_positive(total(-1), total(1))
+    everything = list(weights)
+    return bound(F.filter(words, lambda t: t.isin(everything)), probability)
 
 
 def lexicon_scorer(
@@ -62,8 +67,8 @@ def lexicon_scorer(
     """Rule-based scorer; native expressions, no shuffle."""
 
     def score(df: DataFrame) -> DataFrame:
-        words = df.withColumn("_words", word_tokens(clean_for_model(F.col(text))))
-        return _with_scores(words, lexicon_probability(F.col("_words"), weights)).drop("_words")
+        words = word_tokens(clean_for_model(F.col(text)))
+        return _with_scores(df, lexicon_probability(words, weights))
 
     return score
 

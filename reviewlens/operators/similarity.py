@@ -46,7 +46,7 @@ def document_vectors(
 
     ``key`` is unique. Documents without a vocabulary term have no row.
     """
-    docs = docs.where(F.col(text).isNotNull())
+    docs = docs.where(F.col(text).isNotNull()).select(key, text)
     counts = term_counts(docs, key, word_tokens(F.col(text)))
     size = docs.agg(F.count(F.lit(1)).alias("documents"))
     terms = vocabulary(term_totals(counts), max_features)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 
 def term_counts(docs: DataFrame, key: str, words: Column, *keep: str) -> DataFrame:
-    """``(key, *keep, term, tf)``. The texts are shuffled once by ``key``; all later
+    """``(key, *keep, term, tf)`` of ``docs``, cut down to the columns in use. The texts are shuffled once by ``key``; all later
     per-document steps stay in that partitioning."""
-    spread = docs.select(key, *keep, words.alias("_words")).repartition(key)
     return (
-        spread.select(key, *keep, F.explode("_words").alias("term"))
+        docs.repartition(key)
+        .select(key, *keep, F.explode_outer(words).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(key, *keep, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

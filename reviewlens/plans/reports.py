@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import clean_for_model, word_count
+from reviewlens.functions.text import clean_for_model, squeezed_word_count
 from reviewlens.operators.anomalies import flag_mismatches, flag_spam
 from reviewlens.operators.aspects import aspect_rows, overall_aspect_rows
+from reviewlens.operators.columns import with_computed
 from reviewlens.operators.keys import first_rows
 from reviewlens.operators.keywords import (
     distinct_texts,
@@ -31,8 +32,10 @@ def scorable_reviews(
     order: str = "seq",
 ) -> DataFrame:
     """Reviews with ``clean_text`` of at least four words; all of them unless ``max_rows`` is given."""
-    cleaned = reviews.dropna(subset=list(required)).withColumn("clean_text", clean_for_model(F.col("review_text")))
-    return first_rows(cleaned.where(word_count(F.col("clean_text")) >= MIN_WORDS), order, max_rows)
+    present = reviews.dropna(subset=list(required))
+    cleaned = with_computed(present, "clean_text", clean_for_model(F.col("review_text")))
+    enough = squeezed_word_count(F.col("clean_text")) >= MIN_WORDS
+    return first_rows(cleaned.where(enough), order, max_rows)
 
 
 def spam_report(reviews: DataFrame, key: str = "review_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.rules import is_mismatch
+from reviewlens.operators.columns import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id as seq",
         "cast(doc_id as string) as review_id",
         "source as app_name",
@@ -64,10 +65,10 @@ def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of three tables: prose, web pages, short messages."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .selectExpr("'d' || doc_id as id", "text")
-        .union(table(spark, sf_dir, "pages").selectExpr("'p' || page_id as id", "html"))
-        .union(table(spark, sf_dir, "conversations").selectExpr("'c' || conv_id || '-' || turn as id", "text"))
+        .union(spread(table(spark, sf_dir, "pages")).selectExpr("'p' || page_id as id", "html"))
+        .union(spread(table(spark, sf_dir, "conversations")).selectExpr("'c' || conv_id || '-' || turn as id", "text"))
     )
 
 
