@@ -21,6 +21,8 @@ from reviewlens.sources.scratch import materialise
 
 MAX_FEATURES = 50_000
 
+_ROWS_PER_PARTITION = 5_000
+
 
 def training_rows(reviews: DataFrame, key: str = "review_id", text: str = "clean_text") -> DataFrame:
     """``(key, text, sentiment, label)`` of reviews with text and a clear rating."""
@@ -69,13 +71,17 @@ def estimators(rows: int) -> Mapping[str, object]:
 def fit_baselines(train: DataFrame, max_features: int = MAX_FEATURES) -> dict[str, PipelineModel]:
     """Fit every baseline on ``(text, label)``; each result scores raw text."""
     features = fit_tfidf(train, max_features)
+    rows = train.count()
     data = features.transform(train).select("label", "features")
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
+    # Every pass sends one gradient per partition: small data is better off in few.
+    natural = data.rdd.getNumPartitions()
+    wanted = min(
+        max(natural, train.sparkSession.sparkContext.defaultParallelism), -(-rows // _ROWS_PER_PARTITION) or 1
+    )
+    if wanted != natural:
+        data = data.repartition(wanted)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = data.count()
         return {
             name: PipelineModel([*features.stages, estimator.fit(data)])
             for name, estimator in estimators(rows).items()
