@@ -187,11 +187,18 @@ def candidate_pairs(index: DataFrame, threshold: float) -> DataFrame:
     """Pairs with an unsettled bag that may be above the threshold.
 
     A term with many postings is cut in parts: index rows are spread over them and
-    probe rows repeated, so that no join group holds a whole hot term.
+    probe rows repeated, so that no join group holds a whole hot term. Postings of
+    terms that no probe has are left out before the shuffle.
     """
-    # One row per vocabulary term.
-    parts = index.groupBy("rank").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(_POSTINGS_PER_PART)).cast("int").alias("parts")
+    # At most one row per vocabulary term.
+    parts = (
+        index.groupBy("rank")
+        .agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(_POSTINGS_PER_PART)).cast("int").alias("parts"),
+            F.count_if(~F.col("settled")).alias("probes"),
+        )
+        .where(F.col("probes") > 0)
+        .drop("probes")
     )
     split = index.join(F.broadcast(parts), "rank")
     stored = split.withColumn("part", F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")).drop("parts")
