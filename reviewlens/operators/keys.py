@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewlens.schemas import NEGATIVE, POSITIVE
 from reviewlens.sources.scratch import materialise
 
-_HASH_BUCKETS = 1 << 16
+_HASH_BUCKETS = 1 << 17
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
@@ -49,50 +49,43 @@ def ordinal_ids(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> D
     )
 
 
-def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quotas: DataFrame) -> DataFrame:
-    """Per group the hash and key of the ``quota``-th row in hash order."""
-    hashed = df.select(*groups, F.col(key).alias("_key"), F.xxhash64(F.col(key), F.lit(seed)).alias("_hash"))
-    hashed = hashed.withColumn("_bucket", F.pmod(F.shiftright("_hash", 47), F.lit(_HASH_BUCKETS * 2)))
-    counts = hashed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .join(F.broadcast(quotas), list(groups))
-        .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(*groups, "_bucket", (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_need"))
-    )
-    ranked = hashed.join(F.broadcast(edges), [*groups, "_bucket"]).withColumn(
-        "_rank",
-        F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_hash", "_key")),
-    )
-    return ranked.where(F.col("_rank") == F.col("_need")).select(
-        *groups,
-        F.col("_bucket").alias("_cut_bucket"),
-        F.col("_hash").alias("_cut_hash"),
-        F.col("_key").alias("_cut_key"),
-    )
+def _hash_position(key: str, seed: int) -> Column:
+    """Where a row stands in hash order: bucket, hash, key."""
+    hashed = F.xxhash64(F.col(key), F.lit(seed))
+    bucket = F.pmod(F.shiftright(hashed, 47), F.lit(_HASH_BUCKETS))
+    return F.struct(bucket.alias("bucket"), hashed.alias("hash"), F.col(key).alias("key"))
 
 
-def _within_cutoff(df: DataFrame, groups: Sequence[str], key: str, seed: int, cutoffs: DataFrame) -> DataFrame:
-    # One row per group: written once, so that later actions on the result do not rank again.
-    cutoffs = materialise(cutoffs, "cutoffs")
-    joined = df.join(F.broadcast(cutoffs), list(groups), "left")
-    hashed = F.xxhash64(F.col(key), F.lit(seed))
-    bucket = F.pmod(F.shiftright(hashed, 47), F.lit(_HASH_BUCKETS * 2))
-    position = F.struct(bucket.alias("b"), hashed.alias("h"), F.col(key).alias("k"))
-    limit = F.struct(F.col("_cut_bucket").alias("b"), F.col("_cut_hash").alias("h"), F.col("_cut_key").alias("k"))
-    inside = F.col("_cut_bucket").isNotNull() & (position <= limit)
-    return joined.withColumn("_inside", F.coalesce(inside, F.lit(False))).drop(
-        "_cut_bucket", "_cut_hash", "_cut_key"
+def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quotas: DataFrame) -> DataFrame:
+    """``(*groups, cutoff)``: per group the position of its ``quota``-th row in hash order.
+
+    Counts per bucket find the bucket; only its rows are ranked. One row per group is
+    written, so that later actions on the result do not rank again.
+    """
+    placed = df.select(*groups, _hash_position(key, seed).alias("_at")).withColumn("_bucket", F.col("_at.bucket"))
+    counts = placed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # At most _HASH_BUCKETS rows per group.
+    running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("_upto", F.sum("_n").over(running))
+    if groups:
+        wanted = summed.join(F.broadcast(quotas), list(groups))
+    else:
+        wanted = summed.withColumn("quota", quotas.scalar())
+    before = F.col("_upto") - F.col("_n")
+    edges = wanted.where((F.col("_upto") >= F.col("quota")) & (before < F.col("quota"))).select(
+        *groups, "_bucket", (F.col("quota") - before).alias("_need")
     )
+    order = Window.partitionBy(*groups, "_bucket").orderBy("_at")
+    ranked = placed.join(F.broadcast(edges), [*groups, "_bucket"]).withColumn("_rank", F.row_number().over(order))
+    cutoffs = ranked.where(F.col("_rank") == F.col("_need")).select(*groups, F.col("_at").alias("cutoff"))
+    return materialise(cutoffs, "cutoffs")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, when there are fewer), the same ones on every run."""
-    marked = df.withColumn("_all", F.lit(1))
-    quotas = marked.groupBy("_all").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
-    cutoffs = _hash_cutoffs(marked, ["_all"], key, seed, quotas)
-    return _within_cutoff(marked, ["_all"], key, seed, cutoffs).where("_inside").drop("_inside", "_all")
+    quota = df.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
+    cutoff = _hash_cutoffs(df, [], key, seed, quota).scalar()
+    return df.where(_hash_position(key, seed) <= cutoff)
 
 
 def split_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
@@ -127,4 +120,5 @@ def stratified_split(
     df = df.where(F.col(label).isin(list(labels)))
     quotas = split_quotas(df, label, test_share).select(label, "quota")
     cutoffs = _hash_cutoffs(df, [label], key, seed, quotas)
-    return _within_cutoff(df, [label], key, seed, cutoffs).withColumnRenamed("_inside", "is_test")
+    inside = F.coalesce(_hash_position(key, seed) <= F.col("cutoff"), F.lit(False))
+    return df.join(F.broadcast(cutoffs), label, "left").withColumn("is_test", inside).drop("cutoff")
