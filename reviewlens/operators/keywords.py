@@ -18,6 +18,7 @@ from reviewlens.functions.text import keyword_tokens, without_words, word_tokens
 from reviewlens.operators.keys import first_per_key
 from reviewlens.operators.tfidf import smoothed_idf, term_counts, term_totals, vocabulary_per_group
 from reviewlens.schemas import NEGATIVE, POSITIVE
+from reviewlens.sources.scratch import materialise
 
 TOP_N = 50
 MAX_FEATURES = 5_000
@@ -90,18 +91,23 @@ def keyword_tfidf(
     Vocabulary, IDF and document length are those of the class. The mean is over all
     texts of the class that are not blank. ``key`` is unique per text.
     """
-    texts = texts.where(~is_blank(F.col(text))).select(
-        key, _own_class(F.col(sentiment)).alias("own"), F.col(text).alias("_text")
+    # Read three times below: for the class sizes, for the vocabulary and for the weights.
+    texts = materialise(
+        texts.where(~is_blank(F.col(text))).select(
+            key, _own_class(F.col(sentiment)).alias("own"), F.col(text).alias("_text")
+        ),
+        "texts",
     )
     counts = term_counts(texts, key, without_words(word_tokens(F.col("_text")), stop_words), "own")
     sizes = _roll_up(texts.groupBy("own").agg(F.count(F.lit(1)).alias("documents")), [], ["documents"])
     totals = _roll_up(term_totals(counts, "own"), ["term"], ["total", "df"])
-    idf = (
+    # At most 3 * max_features rows: written once, then broadcast.
+    idf = materialise(
         vocabulary_per_group(totals, max_features, "class")
         .join(sizes, "class")
-        .withColumn("idf", smoothed_idf(F.col("df"), F.col("documents")))
+        .withColumn("idf", smoothed_idf(F.col("df"), F.col("documents"))),
+        "idf",
     )
-    # At most one row per class and vocabulary term, so the broadcast is bounded by 3 * max_features.
     own_idf = idf.where(F.col("class") != "top").select(F.col("class").alias("own"), "term", F.col("idf").alias("own_idf"))
     top_idf = idf.where(F.col("class") == "top").select("term", F.col("idf").alias("top_idf"))
     weighted = (
@@ -132,7 +138,7 @@ def keyword_tfidf(
         .where(F.col("class").isNotNull() & F.col("weight").isNotNull())
         .groupBy("class", "word")
         .agg(F.sum("weight").alias("weight"))
-        .join(sizes, "class")
+        .join(F.broadcast(idf.select("class", "documents").distinct()), "class")
         .withColumn("mean", F.col("weight") / F.col("documents"))
     )
     # Twelve digits keep float noise out of the order of equal means.

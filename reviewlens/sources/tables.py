@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import clean_for_keywords
+from reviewlens.operators.columns import with_computed
 from reviewlens.schemas import KEYWORD_LISTS, TABLES
 from reviewlens.sources.ingest import conform
 
@@ -51,11 +52,8 @@ def labelled_texts(aspect_results: DataFrame | None, mismatches: DataFrame | Non
         text = "clean_text" if "clean_text" in aspect_results.columns else "review_text"
         return aspect_results.select("review_id", F.col(text).alias("clean_text"), "sentiment")
     if mismatches is not None:
-        return mismatches.select(
-            "review_id",
-            clean_for_keywords(F.col("review_text")).alias("clean_text"),
-            F.col("sentiment_label").alias("sentiment"),
-        )
+        cleaned = with_computed(mismatches, "clean_text", clean_for_keywords(F.col("review_text")))
+        return cleaned.select("review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
     return spark.createDataFrame([], "review_id string, clean_text string, sentiment string")
 
 

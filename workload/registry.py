@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import rules, text
 from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keywords, scoring
+from reviewlens.operators.columns import with_computed
 from reviewlens.operators.keys import seeded_sample, stratified_split
 from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
@@ -46,11 +47,9 @@ def _aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        views.scored(views.reviews(spark, sf_dir), spark, sf_dir)
-        .withColumn("clean_text", text.clean_for_model(F.col("review_text")))
-        .select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
-    )
+    rows = views.scored(views.reviews(spark, sf_dir), spark, sf_dir)
+    cleaned = with_computed(rows, "clean_text", text.clean_for_model(F.col("review_text")))
+    return cleaned.select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
 
 
 def _keyword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
