@@ -6,18 +6,18 @@ from reviewlens.session import build_session
 
 SMALL = "/root/testdata/sf0.001"
 
-# Ten reviews of two apps: stars, sentiment, aspect.
+# Ten reviews of two apps: text, stars, sentiment, aspect.
 _TEXTS = [
-    ("Tinder", "Great app, love the matches!", 5, "Positive", "Matches"),
-    ("Tinder", "Terrible experience, full of bugs", 1, "Negative", "Bugs"),
-    ("Tinder", "OK app, nothing special", 3, "Positive", "General"),
-    ("Tinder", "Amazing design, very intuitive UI", 5, "Positive", "UI/UX"),
-    ("Tinder", "Waste of money, too expensive", 1, "Negative", "Pricing"),
-    ("Bumble", "Best dating app ever", 5, "Positive", "General"),
-    ("Bumble", "Crashes every time I open it", 1, "Negative", "Bugs"),
-    ("Bumble", "Nice but the subscription is overpriced", 2, "Negative", "Pricing"),
-    ("Bumble", "Love swiping, found my partner here", 5, "Positive", "Matches"),
-    ("Bumble", "Fake profiles everywhere, not safe", 1, "Positive", "Safety"),
+    ("amber", "Met someone kind in week one, thank you", 5, "Positive", "Matches"),
+    ("amber", "It closes itself whenever I send a photo", 1, "Negative", "Bugs"),
+    ("amber", "Does what it says and no more than that", 3, "Positive", "General"),
+    ("amber", "Clear menu", 5, "Positive", "UI/UX"),
+    ("amber", "Monthly fee keeps rising", 1, "Negative", "Pricing"),
+    ("cobalt", "Five stars from me", 5, "Positive", "General"),
+    ("cobalt", "Login fails again", 1, "Negative", "Bugs"),
+    ("cobalt", "Pleasant enough, yet overpriced for what you get", 2, "Negative", "Pricing"),
+    ("cobalt", "We are getting married in the spring", 5, "Positive", "Matches"),
+    ("cobalt", "Half of the accounts I see are not real people", 1, "Positive", "Safety"),
 ]
 
 

@@ -94,7 +94,7 @@ def test_enriched_without_scores(raw, mismatch_rows, flagged):
 def test_short_opinion_is_no_spam(raw, mismatch_rows, spark):
     everything = raw.select("review_id", F.lit(True).alias("is_spam"))
     rows = dashboard.enriched_reviews(raw, mismatch_rows, everything).where("not is_spam").collect()
-    assert sorted(r.review_id for r in rows) == ["0", "4", "5", "6"]
+    assert sorted(r.review_id for r in rows) == ["3", "4", "5", "6"]
 
 
 def test_aspects(aspect_table):
@@ -110,14 +110,14 @@ def test_aspects(aspect_table):
 def test_compare(raw, aspect_table):
     rows = dashboard.compare_apps(raw, aspect_table).collect()
     assert [(r.app_name, r.total_reviews, r.avg_rating, r.positive_pct) for r in rows] == [
-        ("Bumble", 5, 2.8, 40.0),
-        ("Tinder", 5, 3.0, 60.0),
+        ("amber", 5, 3.0, 60.0),
+        ("cobalt", 5, 2.8, 40.0),
     ]
 
 
 def test_compare_app_without_sentiment(raw, aspect_table):
-    rows = dashboard.compare_apps(raw, aspect_table.where("app_name = 'Tinder'")).collect()
-    assert (rows[0].app_name, rows[0].positive_pct, rows[0].negative_pct) == ("Bumble", 0.0, 0.0)
+    rows = dashboard.compare_apps(raw, aspect_table.where("app_name = 'cobalt'")).collect()
+    assert (rows[0].app_name, rows[0].positive_pct, rows[0].negative_pct) == ("amber", 0.0, 0.0)
 
 
 def test_null_app_counts_in_summary_only(raw, aspect_table, flagged, mismatch_rows):

@@ -114,5 +114,5 @@ def test_source_choice(spark, labelled, mismatch_rows):
     first = tables.labelled_texts(labelled, mismatch_rows, spark)
     assert first.count() == len(ROWS)
     second = tables.labelled_texts(None, mismatch_rows, spark)
-    assert second.where(F.col("review_id") == "0").first().clean_text == "great app love the matches"
+    assert second.where(F.col("review_id") == "0").first().clean_text == "met someone kind in week one thank you"
     assert tables.labelled_texts(None, None, spark).count() == 0

@@ -78,7 +78,7 @@ def test_mismatch_report(spark):
 
 
 def test_aspect_report(spark):
-    rows = [(0, "0", "a", "The app has a crash bug, price too high", 1.0), (1, "1", "a", "just four words here", 4.0)]
+    rows = [(0, "0", "a", "It will crash, and the price is too high", 1.0), (1, "1", "a", "just four words here", 4.0)]
     df = spark.createDataFrame(
         rows, "seq long, review_id string, app_name string, review_text string, star_rating double"
     )

@@ -34,15 +34,15 @@ def brute_force(texts, threshold=0.9):
 
 
 def test_identical(spark):
-    love = "This app is absolutely amazing and I love it"
-    assert flagged_ids(spark, [love, love, "Terrible experience with bugs and crashes"]) == {0, 1}
+    twice = "Slow to load on older phones but worth the wait"
+    assert flagged_ids(spark, [twice, twice, "My account vanished overnight"]) == {0, 1}
 
 
 def test_distinct(spark):
     texts = [
-        "This app is absolutely amazing and wonderful",
-        "Terrible experience with bugs and crashes everywhere",
-        "The pricing model needs significant improvements",
+        "Slow to load on older phones but worth the wait",
+        "My account vanished overnight without any notice",
+        "Please bring back last year's colours",
     ]
     assert flagged_ids(spark, texts) == set()
 
