@@ -33,8 +33,8 @@ def clean_reviews_with_lemmas(
 ) -> DataFrame:
     """The same with each token replaced by its lemma from ``lemmas(token, lemma)``.
 
-    Token rows stay in the partitioning of ``key``, which is unique; Spark broadcasts
-    the lemma table when it is small.
+    ``key`` is unique. Spark broadcasts the lemma table when it is small and otherwise
+    splits frequent tokens with its adaptive skew join.
     """
     counted = with_computed(reviews, "_tokens", feature_tokens(F.col(text), stop_words)).where(
         F.size("_tokens") >= min_tokens

@@ -21,7 +21,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> Da
     """The row with the smallest ``order`` of every key; copies of a key collapse before the shuffle."""
     order = F.col(order) if isinstance(order, str) else order
     others = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row"))
+    # The struct keeps rows whose order is null: they come first.
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(order)).alias("_row"))
     return kept.select(*[F.col(k) if k in keys else F.col("_row")[k].alias(k) for k in df.columns])
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import word_tokens
+from reviewlens.functions.text import bound, word_tokens
 from reviewlens.operators.tfidf import smoothed_idf, term_counts, term_totals, unit_vectors, vocabulary
 from reviewlens.sources.scratch import materialise
 
@@ -42,7 +42,7 @@ _POSTINGS_PER_PART = 20_000  # index rows of one term that one join group may ho
 def document_vectors(
     docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """``(key, bag_hash, vector)``; ``vector`` is an array of (rank, weight), rare terms first.
+    """``(key, bag_hash, vocabulary, vector)``; ``vector`` maps term rank to weight, rare terms first.
 
     ``key`` is unique. Documents without a vocabulary term have no row.
     """
@@ -65,9 +65,9 @@ def document_vectors(
         key,
         F.sha2(bag_text, 256).alias("bag_hash"),
         entries[0]["vocabulary"].alias("vocabulary"),
-        F.transform(
-            entries,
-            lambda e: F.struct(e["rank"].alias("rank"), (e["weight"] / F.col("norm")).alias("weight")),
+        F.map_from_arrays(
+            F.transform(entries, lambda e: e["rank"]),
+            F.transform(entries, lambda e: e["weight"] / F.col("norm")),
         ).alias("vector"),
     )
 
@@ -82,11 +82,7 @@ def collapse_bags(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def _dot(left: Column, right: Column) -> Column:
-    products = F.map_zip_with(
-        F.map_from_entries(left),
-        F.map_from_entries(right),
-        lambda _, a, b: F.coalesce(a * b, F.lit(0.0)),
-    )
+    products = F.map_zip_with(left, right, lambda _, a, b: F.coalesce(a * b, F.lit(0.0)))
     return F.aggregate(F.map_values(products), F.lit(0.0), lambda total, p: total + p)
 
 
@@ -108,11 +104,9 @@ def _both_ends(pairs: DataFrame) -> DataFrame:
 
 def _signatures(vector: Column) -> Column:
     """Signatures that near copies are likely to share: heaviest terms, and two pairs of min-hashes."""
-    ranks = F.transform(vector, lambda e: e["rank"])
-    heaviest = F.slice(
-        F.reverse(F.array_sort(F.transform(vector, lambda e: F.struct(e["weight"], e["rank"])))), 1, 3
-    )
-    heaviest = F.array_sort(F.transform(heaviest, lambda e: e["rank"]))
+    ranks = F.map_keys(vector)
+    by_weight = F.array_sort(F.arrays_zip(F.map_values(vector).alias("weight"), ranks.alias("rank")))
+    heaviest = F.array_sort(F.transform(F.slice(F.reverse(by_weight), 1, 3), lambda e: e["rank"]))
 
     def smallest(seed: int) -> Column:
         return F.array_min(F.transform(ranks, lambda r: F.xxhash64(r, F.lit(seed))))
@@ -153,15 +147,18 @@ def postings(bags: DataFrame, threshold: float) -> DataFrame:
     it; ``rest_at[k]`` is the squared mass behind the k-th cut of the rank range, and
     ``cut`` the last cut not beyond ``end``.
     """
-    size, vector = F.col("vocabulary"), F.col("vector")
+    size = F.col("vocabulary")
+
+    def masses_behind(entries: Column) -> Column:
+        def mass_behind(k: Column) -> Column:
+            behind = F.filter(entries, lambda e: (e["key"] + 1) * _CUTS > k * size)
+            return F.aggregate(behind, F.lit(0.0), lambda total, e: total + e["value"] * e["value"])
 
-    def mass_behind(k: Column) -> Column:
-        behind = F.filter(vector, lambda e: (e["rank"] + 1) * _CUTS > k * size)
-        return F.aggregate(behind, F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"])
+        return F.transform(F.sequence(F.lit(0), F.lit(_CUTS)), mass_behind)
 
-    profiled = bags.withColumn("rest_at", F.transform(F.sequence(F.lit(0), F.lit(_CUTS)), mass_behind))
-    entries = profiled.select("bag", "settled", "vocabulary", "rest_at", F.explode("vector").alias("e")).select(
-        "bag", "settled", "vocabulary", "rest_at", "e.rank", "e.weight"
+    profiled = bags.withColumn("rest_at", bound(F.map_entries("vector"), masses_behind))
+    entries = profiled.select(
+        "bag", "settled", "vocabulary", "rest_at", F.explode("vector").alias("rank", "weight")
     )
     from_here = (
         Window.partitionBy("bag").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
