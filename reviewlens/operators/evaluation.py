@@ -27,9 +27,10 @@ def class_scores(
 ) -> DataFrame:
     """Precision, recall, F1, support and hits of every class that occurs as label or prediction."""
     matrix = confusion_matrix(predictions, label, prediction, by)
+    none = F.lit(0).cast("bigint")
     sides = F.array(
-        F.struct(F.col(label).alias("class"), F.col("count").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
-        F.struct(F.col(prediction).alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("count").alias("predicted")),
+        F.struct(F.col(label).alias("class"), F.col("count").alias("support"), none.alias("predicted")),
+        F.struct(F.col(prediction).alias("class"), none.alias("support"), F.col("count").alias("predicted")),
     )
     hit = F.when(F.col(label) == F.col(prediction), F.col("count")).otherwise(F.lit(0))
     # Each cell counts once for its label and once for its prediction; a hit is counted on the label side.

@@ -51,10 +51,16 @@ def clean_reviews_with_lemmas(
 def plural_lemmas(words: DataFrame, token: str = "token") -> DataFrame:
     """``(token, lemma)`` for words in -s, -es and -ies whose stem is itself among ``words``."""
     known = words.select(F.col(token).alias("token")).distinct()
+    endings = [("^(.+)ies$", "y"), ("^(.+)es$", ""), ("^(.+[^s])s$", "")]
     stems = F.array(
-        F.struct(F.lit(0).alias("order"), F.regexp_extract("token", "^(.+)ies$", 1).alias("stem"), F.lit("y").alias("end")),
-        F.struct(F.lit(1).alias("order"), F.regexp_extract("token", "^(.+)es$", 1).alias("stem"), F.lit("").alias("end")),
-        F.struct(F.lit(2).alias("order"), F.regexp_extract("token", "^(.+[^s])s$", 1).alias("stem"), F.lit("").alias("end")),
+        *[
+            F.struct(
+                F.lit(i).alias("order"),
+                F.regexp_extract("token", pattern, 1).alias("stem"),
+                F.lit(end).alias("end"),
+            )
+            for i, (pattern, end) in enumerate(endings)
+        ]
     )
     proposed = (
         known.where(F.col("token").endswith("s"))

@@ -108,7 +108,9 @@ def keyword_tfidf(
         .withColumn("idf", smoothed_idf(F.col("df"), F.col("documents"))),
         "idf",
     )
-    own_idf = idf.where(F.col("class") != "top").select(F.col("class").alias("own"), "term", F.col("idf").alias("own_idf"))
+    own_idf = idf.where(F.col("class") != "top").select(
+        F.col("class").alias("own"), "term", F.col("idf").alias("own_idf")
+    )
     top_idf = idf.where(F.col("class") == "top").select("term", F.col("idf").alias("top_idf"))
     weighted = (
         counts.join(F.broadcast(own_idf), ["own", "term"], "left")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def term_counts(docs: DataFrame, key: str, words: Column, *keep: str) -> DataFrame:
-    """``(key, *keep, term, tf)`` of ``docs``, cut down to the columns in use. The texts are shuffled once by ``key``; all later
-    per-document steps stay in that partitioning."""
+    """``(key, *keep, term, tf)`` of ``docs``, which holds only the columns in use.
+
+    The texts are shuffled once by ``key``; all later per-document steps stay in that
+    partitioning.
+    """
     return (
         docs.repartition(key)
         .select(key, *keep, F.explode_outer(words).alias("term"))
