@@ -99,8 +99,11 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    counted = step.select(*[F.col(f"`{c}`") for c in plain.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
-    return counted
+    # Generator output: a later filter on a statistic reads it instead of repeating how it came about.
+    once = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))).alias(ws)
+    return step.select(*[F.col(f"`{c}`") for c in plain.columns], once).select(
+        *[F.col(f"`{c}`") for c in plain.columns], *[F.col(ws)[k].alias(k) for k in STATISTICS]
+    )
 
 
 def base_failed() -> Column:
@@ -108,48 +111,59 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _vector() -> list[Column]:
-    n, chars = F.col("n_words"), F.col("word_chars")
-    parts = (
-        F.log(1 + n),
-        F.log((chars + 1) / (n + 1)),
-        F.log(1 + 1000 * F.col("n_symbols") / (chars + 1)),
-        F.log(1 + 100 * F.col("n_dup_lines") / (n + 1)),
-        F.log(1 + 100 * F.col("n_repeat_words") / (n + 1)),
-    )
-    return [F.round(p * _SCALE).cast("long") for p in parts]
+_VECTOR = (
+    "ln(1 + n_words)",
+    "ln((word_chars + 1) / (n_words + 1))",
+    "ln(1 + 1000 * n_symbols / (word_chars + 1))",
+    "ln(1 + 100 * n_dup_lines / (n_words + 1))",
+    "ln(1 + 100 * n_repeat_words / (n_words + 1))",
+)
 
 
-def _distance(vector: list[Column], p: Column) -> Column:
-    """Squared Mahalanobis distance, by forward substitution with the Cholesky factor in ``p``."""
-    solved: list[Column] = []
-    for i in range(_P):
-        left = vector[i] / _SCALE - p["mean"][i]
-        for j in range(i):
-            left = left - p["factor"][i * (i + 1) // 2 + j] * solved[j]
-        solved.append(left / p["factor"][i * (i + 1) // 2 + i])
-    return sum((y * y for y in solved[1:]), solved[0] * solved[0])
+def _vector() -> list[str]:
+    """The components in fixed point, as SQL."""
+    return [f"cast(round({part} * {_SCALE}) as bigint)" for part in _VECTOR]
+
+
+def _distance(vector: list[str], p: str) -> str:
+    """Squared Mahalanobis distance, as SQL: the inverse Cholesky factor in ``p`` makes it a sum of squares."""
+    away = [f"({x} / {_SCALE}e0 - {p}.mean[{i}])" for i, x in enumerate(vector)]
+    rows = ["+".join(f"{p}.inverse[{i * (i + 1) // 2 + j}] * {away[j]}" for j in range(i + 1)) for i in range(_P)]
+    return " + ".join(f"power({row}, 2)" for row in rows)
 
 
 def _estimate(moments: DataFrame, inflate: float) -> DataFrame:
-    """``(key, p)``: mean and Cholesky factor from exact sums, the covariance scaled by ``inflate`` and floored."""
-    n = F.col("n").cast("double")
-    means = [F.col(f"s{i}") / n / _SCALE for i in range(_P)]
-    fitted = moments.withColumns({f"m{i}": m for i, m in enumerate(means)})
+    """``(key, p)``: mean and inverse Cholesky factor from exact sums.
+
+    The covariance is scaled by ``inflate``, its diagonal raised by the squared floors. One projection per row
+    of the factor, so that no expression repeats another.
+    """
+    means = [f"s{i} / n / {_SCALE}e0 as m{i}" for i in range(_P)]
+    covs = []
+    for i in range(_P):
+        for j in range(i + 1):
+            floor = _FLOORS[i] ** 2 if i == j else 0.0
+            cov = f"q{i}{j} / n / {_SCALE**2}e0 - (s{i} / n / {_SCALE}e0) * (s{j} / n / {_SCALE}e0)"
+            covs.append(f"{inflate!r}D * ({cov}) + {floor!r}D as c{i}{j}")
+    fitted = moments.selectExpr("key", *means, *covs)
     for i in range(_P):
         for j in range(i + 1):
-            cov = F.col(f"q{i}{j}") / n / _SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")
-            cov = F.lit(inflate) * cov + F.lit(_FLOORS[i] ** 2 if i == j else 0.0)
-            below = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            entry = F.sqrt(F.greatest(cov - below, F.lit(1e-9))) if i == j else (cov - below) / F.col(f"l{j}{j}")
-            fitted = fitted.withColumn(f"l{i}{j}", entry)
-    factor = F.array(*[F.col(f"l{i}{j}") for i in range(_P) for j in range(i + 1)])
-    return fitted.select("key", F.struct(F.array(*[F.col(f"m{i}") for i in range(_P)]).alias("mean"), factor.alias("factor")).alias("p"))
+            below = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            left = f"c{i}{j}{below}"
+            fitted = fitted.selectExpr("*", f"sqrt(greatest({left}, 1e-9D)) as l{i}{i}" if i == j else f"({left}) / l{j}{j} as l{i}{j}")
+    for i in range(_P):
+        entries = []
+        for j in range(i):
+            entries.append(f"-({' + '.join(f'l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} as v{i}{j}")
+        fitted = fitted.selectExpr("*", *entries, f"1 / l{i}{i} as v{i}{i}")
+    mean = ", ".join(f"m{i}" for i in range(_P))
+    inverse = ", ".join(f"v{i}{j}" for i in range(_P) for j in range(i + 1))
+    return fitted.selectExpr("key", f"struct(array({mean}) as mean, array({inverse}) as inverse) as p")
 
 
 def _sums() -> list[Column]:
-    firsts = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)]
-    return firsts + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
+    firsts = [f"sum(x{i}) as s{i}" for i in range(_P)]
+    return [F.expr(e) for e in firsts + [f"sum(x{i} * x{j}) as q{i}{j}" for i in range(_P) for j in range(i + 1)]]
 
 
 def _start(vectors: DataFrame) -> DataFrame:
@@ -164,10 +178,10 @@ def _start(vectors: DataFrame) -> DataFrame:
     at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("v.x"))) / _SCALE
     spread = ranked.groupBy("key", F.col("v.i").alias("i")).agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
     parts = spread.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "mid", "sd"))).alias("d"))
-    factor = []
+    inverse = []
     for i in range(_P):
-        factor += [F.lit(0.0)] * i + [F.sqrt(F.pow(F.col("d")[i]["sd"], 2) + _FLOORS[i] ** 2)]
-    return parts.select("key", F.struct(F.col("d.mid").alias("mean"), F.array(*factor).alias("factor")).alias("p"))
+        inverse += ["0D"] * i + [f"1 / sqrt(power(d[{i}].sd, 2) + {_FLOORS[i] ** 2!r}D)"]
+    return parts.selectExpr("key", f"struct(d.mid as mean, array({', '.join(inverse)}) as inverse) as p")
 
 
 def fit(
@@ -180,7 +194,7 @@ def fit(
     ``share`` of the rows of a group, ties of the last distance bin included, carry each step.
     """
     key = null_safe_key(F.col(lang), F.col(source)).alias("group")
-    vectors = counted.where(~base_failed()).select(key, *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
+    vectors = counted.where(~base_failed()).select(key, *[F.expr(f"{x} as x{i}") for i, x in enumerate(_vector())])
     vectors = materialise(vectors, "vectors")
     sizes = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     groups = materialise(
@@ -193,8 +207,8 @@ def fit(
     kept_share = share / _chi2_cdf(cut, _P + 2)
     inside = Window.partitionBy("key")
     for step in range(steps + 1):
-        distance = _distance([F.col(f"x{i}") for i in range(_P)], F.col("p"))
-        placed = vectors.join(estimate, "key").withColumn("bin", F.floor(F.log(distance + 1e-6) * _BINS))
+        distance = _distance([f"x{i}" for i in range(_P)], "p")
+        placed = vectors.join(estimate, "key").selectExpr("*", f"floor(ln({distance} + 1e-6D) * {_BINS}) as bin")
         binned = placed.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"), *_sums())
         if step < steps:
             before = F.coalesce(F.sum("n").over(inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -222,7 +236,7 @@ def judged(
     group, p = unused(counted, "_group"), unused(counted, "_p")
     named = estimates.select(F.col("group").alias(group), F.col("p").alias(p))
     joined = counted.withColumn(group, null_safe_key(F.col(lang), F.col(source))).join(named, group, "left")
-    distance = F.when(F.col(p).isNotNull(), _distance(_vector(), F.col(p)))
+    distance = F.expr(_distance(_vector(), f"`{p}`"))
     joined = joined.withColumns({"base_failed": base_failed(), "distance": distance})
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return joined.withColumn("kept", kept).drop(group, p)
