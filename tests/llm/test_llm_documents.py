@@ -283,7 +283,7 @@ def test_toxicity_on_held_out_rows(spark, documents, nothing):
     for i in range(900):
         text = list(rng.choice(words, 60))
         if i % 5 == 0:
-            text[20:20] = list(rng.choice(bad, 3))
+            text[20:20] = list(rng.choice(bad, 6))
         rows.append((i, " ".join(text)))
         labels.append((i, int(i % 5 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -291,8 +291,8 @@ def test_toxicity_on_held_out_rows(spark, documents, nothing):
     got = toxicity.toxicity(df, marks).collect()
     held = [r for r in got if r.held_out]
     assert len(held) > 200 and sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.98 * len(held)
-    hit = next(r for r in held if r.predicted)
-    assert any(w in rows[hit.doc_id][1][p.start : p.end] for w in bad for p in hit.passages)
+    spans = [(rows[r.doc_id][1][p.start : p.end]) for r in held for p in r.passages]
+    assert spans and all(any(w in span for w in bad) for span in spans)
     # Labels of held-out rows make no difference.
     import zlib
 
