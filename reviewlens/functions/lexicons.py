@@ -14,7 +14,7 @@ ASPECTS = {
     "Pricing": [
         "billing", "charge", "cheap", "cost", "expensive", "free", "gold", "money", "overpriced", "paid",
         "pay", "plan", "platinum", "premium", "price", "purchase", "refund", "subscription",
-        "tinder gold", "tinder plus", "worth",
+        "worth",
     ],
     "Matches": [
         "algorithm", "boost", "compatible", "connection", "date", "discover", "explore", "like", "match",

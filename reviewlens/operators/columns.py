@@ -14,13 +14,3 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in df.columns if c != name]
     return df.select(*others, F.explode_outer(F.array(value)).alias(name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the source gives fewer partitions than there are cores.
-
-    A file with one row group is read by one task, however long its texts. Input with
-    enough partitions passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -35,7 +35,7 @@ def ordinal_ids(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> D
     """Number rows 0, 1, 2, … by a unique integer column.
 
     Rows are ranked inside ranges of ``width`` order values; the rows before each
-    range come from one count per range.
+    range come from one count per range. Rows whose order is null come first.
     """
     ranged = df.withColumn("_range", F.expr(f"floor({order} / {width})"))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
@@ -44,7 +44,8 @@ def ordinal_ids(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> D
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return (
         ranged.withColumn("_rank", inside)
-        .join(offsets, "_range")
+        .join(offsets.withColumnRenamed("_range", "_of"), F.col("_range").eqNullSafe(F.col("_of")))
+        .drop("_of")
         .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
         .drop("_range", "_rank", "_offset")
     )

@@ -30,7 +30,11 @@ def build_session(master: str, shuffle_partitions: int, **extra: str) -> SparkSe
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder; on a cluster that is an error, as executors
+    would write to disks of their own.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root:
@@ -38,6 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewlens-"))
     return context.getCheckpointDir()
 

@@ -1,12 +1,28 @@
 """Intermediate tables in the shared checkpoint folder."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.session import scratch_path
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: later steps restart from it when executors are lost."""
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has written so far; results that still read them must be done.
+
+    Returns how many were deleted.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name in paths:
+        path = hadoop.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -56,3 +56,10 @@ def test_split_is_repeatable(numbered):
     once = {r.key for r in keys.stratified_split(numbered, "label", "key").where("is_test").collect()}
     again = {r.key for r in keys.stratified_split(numbered.orderBy(F.desc("seq")), "label", "key").where("is_test").collect()}
     assert once == again
+
+
+def test_ordinals_keep_rows_without_order(spark):
+    from reviewlens.operators.keys import ordinal_ids
+
+    rows = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c")], "line long, x string")
+    assert {r.x: r.n for r in ordinal_ids(rows, "line", "n", width=4).collect()} == {"b": 0, "a": 1, "c": 2}

@@ -1,7 +1,9 @@
 import os
 
+import pytest
+
 from reviewlens import session
-from reviewlens.sources.scratch import materialise
+from reviewlens.sources.scratch import materialise, release
 
 
 class _Conf:
@@ -13,8 +15,9 @@ class _Conf:
 
 
 class _Context:
-    def __init__(self):
+    def __init__(self, master="local[2]"):
         self.folder = None
+        self.master = master
 
     def getConf(self):
         return _Conf()
@@ -38,6 +41,13 @@ def test_configured_folder_is_used():
     assert session.scratch_path(named, "x").startswith("hdfs://shared/cp/x-")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    unset = _Session(None)
+    unset.sparkContext = _Context("spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.checkpoint_root(unset)
+
+
 def test_temporary_folder_only_without_setting():
     unset = _Session(None)
     root = session.checkpoint_root(unset)
@@ -48,4 +58,9 @@ def test_materialised_table_is_read_from_the_shared_folder(spark):
     table = materialise(spark.range(5), "numbers")
     root = session.checkpoint_root(spark)
     assert table.count() == 5
-    assert all(root in name for name in table.inputFiles())
+    files = table.inputFiles()
+    assert all(root in name for name in files)
+    from workload import registry
+
+    assert release(spark) >= 1 and not any(os.path.exists(name.removeprefix("file://")) for name in files)
+    registry._FLAGS.clear()

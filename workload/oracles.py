@@ -108,18 +108,6 @@ PARTS = {
                coalesce((star_rating >= 4 and sentiment_label = 'Negative')
                         or (star_rating <= 2 and sentiment_label = 'Positive'), false) is_mismatch
         from reviews r join sentiments s using (review_id)""",
-    "quick": f"""
-        select review_id, review_text, star_rating, {short('review_text')} is_short, {repetitive('review_text')} is_repetitive
-        from reviews""",
-    "enriched": """
-        select r.*, s.sentiment_label, s.sentiment_score, coalesce(s.is_mismatch, false) is_mismatch,
-               case when length(r.review_text) < 30 and (r.star_rating >= 4 or r.star_rating <= 2) then false
-                    else q.is_short or q.is_repetitive end is_spam
-        from reviews r left join scored s using (review_id) join quick q using (review_id)""",
-    "items": """
-        select seq, review_id, app_name, review_text, star_rating, cast(review_date as varchar) review_date,
-               sentiment_label, sentiment_score, is_mismatch, is_spam, is_mismatch or is_spam is_anomaly
-        from enriched""",
     "scorable": f"""
         select w.*, {clean_model('review_text')} clean_text from worded w
         where len({tokens(clean_model('review_text'))}) >= 4""",
@@ -235,6 +223,15 @@ PARTS = {
         select r.*, {short('review_text')} is_short, {repetitive('review_text')} is_repetitive,
                r.review_id in (select review_id from dups) is_duplicate
         from reviews r""",
+    "enriched": """
+        select r.*, s.sentiment_label, s.sentiment_score, coalesce(s.is_mismatch, false) is_mismatch,
+               case when length(r.review_text) < 30 and (r.star_rating >= 4 or r.star_rating <= 2) then false
+                    else q.is_short or q.is_repetitive or q.is_duplicate end is_spam
+        from reviews r left join scored s using (review_id) join spam q using (review_id)""",
+    "items": """
+        select seq, review_id, app_name, review_text, star_rating, cast(review_date as varchar) review_date,
+               sentiment_label, sentiment_score, is_mismatch, is_spam, is_mismatch or is_spam is_anomaly
+        from enriched""",
     "daily": """
         select cast(review_date as varchar) date, cast(count_if(sentiment_label = 'Positive') as bigint) positive,
                cast(count_if(sentiment_label = 'Negative') as bigint) negative
@@ -245,8 +242,7 @@ PARTS = {
 USES = {
     "worded": "reviews",
     "scored": "reviews sentiments",
-    "quick": "reviews",
-    "enriched": "reviews scored quick",
+    "enriched": "reviews scored spam",
     "items": "enriched",
     "scorable": "worded",
     "aspect_lists": "scorable sentiments",
@@ -308,14 +304,14 @@ def oracle(name: str, uses: str, body: str) -> None:
 
 oracle(
     "summary",
-    "reviews per_review quick scored",
+    "reviews per_review spam scored",
     f"""
     select (select count(*) from reviews) total_reviews, (select round_even(avg(star_rating), 2) from reviews) avg_rating,
            {pct('p', '(p + n)')} positive_pct, {pct('n', '(p + n)')} negative_pct,
-           (select cast(count_if(is_short or is_repetitive) as bigint) from quick) spam_count_raw,
+           (select cast(count_if(is_short or is_repetitive or is_duplicate) as bigint) from spam) spam_count_raw,
            (select cast(count_if(is_mismatch) as bigint) from scored) mismatch_count,
            cast(round(p * 100 / (p + n)) as bigint) positive_share,
-           (select count_if(is_short or is_repetitive) from quick) > 0 or (select count_if(is_mismatch) from scored) > 0 has_anomalies
+           (select count_if(is_short or is_repetitive or is_duplicate) from spam) > 0 or (select count_if(is_mismatch) from scored) > 0 has_anomalies
     from (select count_if(sentiment = 'Positive') p, count_if(sentiment = 'Negative') n from per_review)""",
 )
 oracle("trends_daily", "daily", "select * from daily order by date")

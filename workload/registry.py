@@ -15,6 +15,7 @@ from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
 from reviewlens.session import scratch_path
 from reviewlens.sources import ingest, tables
+from reviewlens.sources.scratch import materialise
 from reviewlens.streaming import trends, uploads
 from workload import views
 
@@ -30,13 +31,21 @@ def query(fn: Query) -> Query:
 # --- shared inputs -----------------------------------------------------------------
 
 
-def _quick_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.flag_spam(views.reviews(spark, sf_dir), None)
+_FLAGS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag table under all three rules, written once per application and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FLAGS:
+        report = reports.spam_report(views.reviews(spark, sf_dir))
+        _FLAGS[key] = materialise(report.select("review_id", "is_spam"), "flags")
+    return _FLAGS[key]
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.enriched_reviews(
-        views.reviews(spark, sf_dir), views.mismatches(spark, sf_dir), _quick_flags(spark, sf_dir)
+        views.reviews(spark, sf_dir), views.mismatches(spark, sf_dir), _flags(spark, sf_dir)
     )
 
 
@@ -64,7 +73,7 @@ def summary(spark, sf_dir):
     return dashboard.summary(
         views.reviews(spark, sf_dir),
         _aspect_rows(spark, sf_dir),
-        _quick_flags(spark, sf_dir),
+        _flags(spark, sf_dir),
         views.mismatches(spark, sf_dir),
     )
 
