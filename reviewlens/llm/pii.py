@@ -14,6 +14,7 @@ size; its false positives end in an exact join.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -108,7 +109,10 @@ def _contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, int, str]]:
             after.append(m[0].lower())
         words = around + after
         context = zlib.crc32(" ".join(words).encode("utf-8", "replace"))
-        hidden = {w.lower() for a, b in covered if abs(a - start) <= 60 * _REACH for w in _WORD.findall(text[a:b])}
+        # Only entities near this one can hold its words; a text full of entities stays linear.
+        first = bisect.bisect_left(covered, (start - 60 * _REACH, 0))
+        last = bisect.bisect_right(covered, (start + 60 * _REACH, 0))
+        hidden = {w.lower() for a, b in covered[first:last] for w in _WORD.findall(text[a:b])}
         for term in sorted(set(words) - hidden):
             yield f"{kind}:{text[start:end]}", context, term
 
