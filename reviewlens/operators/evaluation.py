@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.rules import known
 
-_SCORE_BUCKETS = 1 << 16
+_SCORE_RANGES = 256
 
 
 def confusion_matrix(
@@ -69,15 +69,25 @@ def roc_auc(
     """``(*by, roc_auc)``: exact area under the ROC curve, ties counting one half.
 
     Equal scores collapse first. Negatives below a score are the negatives of lower
-    score buckets, from a table of bucket totals, plus those inside its bucket.
+    score ranges, from a table of range totals, plus those inside its range. Ranges
+    lie between approximate quantiles of the collapsed scores, so each holds about
+    as many, whatever the scale. Rows without a score take no part.
     """
     keys = list(by)
     positive = known(F.col(is_positive))
-    # Logistic squeeze: keeps the order of scores and works for margins and probabilities.
-    bucket = F.floor(_SCORE_BUCKETS / (1 + F.exp(-F.col(score))))
-    points = predictions.groupBy(*keys, bucket.alias("_bucket"), F.col(score).alias("_score")).agg(
-        F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg")
+    points = (
+        predictions.where(F.col(score).isNotNull())
+        .groupBy(*keys, F.col(score).alias("_score"))
+        .agg(F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg"))
     )
+    shares = F.array(*[F.lit(i / _SCORE_RANGES) for i in range(1, _SCORE_RANGES)])
+    cuts = points.groupBy(*keys).agg(F.percentile_approx("_score", shares, F.lit(10_000)).alias("_cuts"))
+    if keys:  # one row per model
+        points = points.join(F.broadcast(cuts), keys)
+    else:
+        points = points.withColumn("_cuts", cuts.scalar())
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_score")))
+    points = points.withColumn("_bucket", below).drop("_cuts")
     totals = points.groupBy(*keys, "_bucket").agg(F.sum("_neg").alias("_bucket_neg"))
     lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     below_bucket = totals.select(

@@ -35,7 +35,7 @@ _SLACK = 1e-9  # float summation order must not lose a pair
 _CUTS = 16  # points of the rank range at which a bag's remaining mass is known
 _SALTS = 256  # parts of a hot signature
 _HOT_SIGNATURE = 10_000  # bags above which a signature gets one representative per part
-_HOT_BAG = 1_000_000  # members above which a bag is matched by broadcast
+_MEMBER_PARTS = 16  # parts of the members of a bag
 _POSTINGS_PER_PART = 20_000  # index rows of one term that one join group may hold
 
 
@@ -229,16 +229,13 @@ def candidate_pairs(index: DataFrame, threshold: float) -> DataFrame:
 def _members_of_copied_bags(vectors: DataFrame, bags: DataFrame, key: str) -> DataFrame:
     """Ids of documents whose bag occurs more than once.
 
-    Bags above ``_HOT_BAG`` members are few (documents / ``_HOT_BAG``) and matched by
-    broadcast, which keeps their members out of the shuffle on ``bag_hash``.
+    Members are dealt over ``_MEMBER_PARTS`` parts of their bag and each copied bag is
+    repeated per part, so that a bag of any size is spread over tasks.
     """
-    copied = bags.where(F.col("members") > 1).select("bag_hash", "members")
-    hot = F.broadcast(copied.where(F.col("members") > _HOT_BAG).select("bag_hash"))
-    cold = copied.where(F.col("members") <= _HOT_BAG).select("bag_hash")
-    slim = vectors.select(key, "bag_hash")
-    in_hot = slim.join(hot, "bag_hash", "left_semi")
-    in_cold = slim.join(hot, "bag_hash", "left_anti").join(cold, "bag_hash", "left_semi")
-    return in_hot.unionByName(in_cold).select(key)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_MEMBER_PARTS - 1))).alias("part")
+    copied = bags.where(F.col("members") > 1).select("bag_hash", parts)
+    slim = vectors.select(key, "bag_hash", F.pmod(F.xxhash64(key), F.lit(_MEMBER_PARTS)).cast("int").alias("part"))
+    return slim.join(copied, ["bag_hash", "part"], "left_semi").select(key)
 
 
 def near_duplicate_ids(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_PARTS = 64
+
 
 def term_counts(docs: DataFrame, key: str, words: Column, *keep: str) -> DataFrame:
     """``(key, *keep, term, tf)`` of ``docs``, which holds only the columns in use.
@@ -43,10 +45,16 @@ def vocabulary(totals: DataFrame, max_features: int) -> DataFrame:
 
 
 def vocabulary_per_group(totals: DataFrame, max_features: int, *groups: str) -> DataFrame:
-    """The most frequent terms of each group."""
-    order = Window.partitionBy(*groups).orderBy(F.desc("total"), F.asc("term"))
-    ranked = totals.withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= max_features).drop("_rank")
+    """The most frequent terms of each group.
+
+    Ranked in parts of a group first, so that no task sorts all terms of a group: the last ranking has at most
+    ``_PARTS * max_features`` rows.
+    """
+    totals = totals.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(_PARTS)))
+    for keys in ([*groups, "_part"], groups):
+        order = Window.partitionBy(*keys).orderBy(F.desc("total"), F.asc("term"))
+        totals = totals.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_features)
+    return totals.drop("_rank", "_part")
 
 
 def unit_vectors(weighted: DataFrame, key: str, entry: Column, *keep: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_equals_brute_force(spark, seed):
 def test_equals_brute_force_with_tiny_parts(spark, monkeypatch):
     """The same when every hot-group rule takes effect."""
     monkeypatch.setattr(similarity, "_HOT_SIGNATURE", 3)
-    monkeypatch.setattr(similarity, "_HOT_BAG", 2)
+    monkeypatch.setattr(similarity, "_MEMBER_PARTS", 3)
     monkeypatch.setattr(similarity, "_POSTINGS_PER_PART", 4)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(120)]

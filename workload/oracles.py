@@ -111,11 +111,26 @@ PARTS = {
     "scorable": f"""
         select w.*, {clean_model('review_text')} clean_text from worded w
         where len({tokens(clean_model('review_text'))}) >= 4""",
+    "lexicon": f"select * from (values {WEIGHTS}) t(word, weight)",
+    "lexicon_hits": f"""
+        select review_id, unnest({word_tokens(clean_model('review_text'))}) word from worded""",
+    "lexicon_sums": """
+        select review_id, sum(case when weight > 0 then weight end) pos, sum(case when weight < 0 then -weight end) neg
+        from lexicon_hits join lexicon using (word) group by review_id""",
+    "lexicon_scores": """
+        select w.review_id, exp(coalesce(pos, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))
+               / (exp(coalesce(pos, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))
+                  + exp(coalesce(neg, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))) p
+        from worded w left join lexicon_sums using (review_id)""",
+    "lexicon_labels": """
+        select review_id, case when p > 0.5 then 'Positive' else 'Negative' end sentiment_label,
+               round_even(greatest(p, 1 - p), 4) sentiment_score
+        from lexicon_scores""",
     "aspect_lists": f"""
         select c.*, s.sentiment_label, s.sentiment_score,
                list_filter([{', '.join(f"case when {has_aspect(p, 'clean_text')} then '{a}' end" for a, p in ASPECTS.items())}],
                            lambda a: a is not null) found
-        from scorable c join sentiments s using (review_id) where s.sentiment_label is not null""",
+        from scorable c join lexicon_labels s using (review_id)""",
     "aspects": """
         select review_id, app_name, review_text, clean_text, star_rating,
                unnest(case when len(found) = 0 then ['General'] else found end) aspect,
@@ -132,7 +147,7 @@ PARTS = {
     "features": f"select id, {feature_tokens('text')} words from texts",
     "labelled": f"""
         select seq, review_id, {clean_model('review_text')} clean_text, sentiment_label sentiment
-        from scored where sentiment_label is not null""",
+        from worded join lexicon_labels using (review_id)""",
     "kw_texts": """
         select arg_min(review_id, seq) review_id, clean_text, arg_min(sentiment, seq) sentiment
         from labelled group by clean_text""",
@@ -162,17 +177,6 @@ PARTS = {
     "kw_tfidf": """
         select * from (select class, cast(row_number() over (partition by class order by round_even(mean, 12) desc, word) as int) rank,
                               word, round_even(mean, 6) tfidf from means) where rank <= 50""",
-    "lexicon": f"select * from (values {WEIGHTS}) t(word, weight)",
-    "lexicon_hits": f"""
-        select review_id, unnest({word_tokens(clean_model('review_text'))}) word from worded""",
-    "lexicon_sums": """
-        select review_id, sum(case when weight > 0 then weight end) pos, sum(case when weight < 0 then -weight end) neg
-        from lexicon_hits join lexicon using (word) group by review_id""",
-    "lexicon_scores": """
-        select w.review_id, exp(coalesce(pos, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))
-               / (exp(coalesce(pos, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))
-                  + exp(coalesce(neg, 0) - greatest(coalesce(pos, 0), coalesce(neg, 0)))) p
-        from worded w left join lexicon_sums using (review_id)""",
     "judged": """
         select s.sentiment_label as label, case when p > 0.5 then 'Positive' else 'Negative' end prediction, p
         from lexicon_scores join sentiments s using (review_id)""",
@@ -245,12 +249,13 @@ USES = {
     "enriched": "reviews scored spam",
     "items": "enriched",
     "scorable": "worded",
-    "aspect_lists": "scorable sentiments",
+    "aspect_lists": "scorable lexicon_labels",
     "aspects": "aspect_lists",
     "per_review": "aspects",
     "aspect_counts": "aspects",
     "features": "texts",
-    "labelled": "scored",
+    "labelled": "worded lexicon_labels",
+    "lexicon_labels": "lexicon_scores",
     "kw_texts": "labelled",
     "kw_classes": "kw_texts",
     "kw_counts": "kw_classes",
@@ -477,13 +482,13 @@ oracle(
 oracle("keywords_frequent", "kw_freq", 'select * from kw_freq where rank <= 30 and "count" >= 5')
 oracle(
     "upload_keywords",
-    "worded sentiments",
+    "worded lexicon_labels",
     f"""
     select * from (
       select class, cast(row_number() over (partition by class order by count(*) desc, word) as int) rank, word, count(*) "count"
       from (select class, unnest({keyword_tokens('review_text')}) word
             from (select review_text, unnest([lower(sentiment_label), 'top']) class
-                  from worded join sentiments using (review_id)))
+                  from worded join lexicon_labels using (review_id)))
       group by class, word) where rank <= 50""",
 )
 

@@ -50,15 +50,16 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = scoring.joined_scorer(views.sentiments(spark, sf_dir))
-    rows = reports.aspect_report(views.worded_reviews(spark, sf_dir), labelled)
-    return rows.where(F.col("sentiment").isNotNull())
+    """Aspects of every scorable review, with the rule-based scorer's labels; four digits of confidence."""
+    rows = reports.aspect_report(views.worded_reviews(spark, sf_dir), scoring.lexicon_scorer("clean_text"))
+    return rows.withColumn("confidence", F.bround("confidence", 4))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.scored(views.reviews(spark, sf_dir), spark, sf_dir)
-    cleaned = with_computed(rows, "clean_text", text.clean_for_model(F.col("review_text")))
-    return cleaned.select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
+    """Every review with its cleaned text and the rule-based scorer's label."""
+    rows = with_computed(views.worded_reviews(spark, sf_dir), "clean_text", text.clean_for_model(F.col("review_text")))
+    scored = scoring.lexicon_scorer("clean_text")(rows)
+    return scored.select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
 
 
 def _keyword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +274,7 @@ def keywords_frequent(spark, sf_dir):
 
 @query
 def upload_keywords(spark, sf_dir):
-    rows = views.scored(views.worded_reviews(spark, sf_dir), spark, sf_dir)
+    rows = scoring.lexicon_scorer()(views.worded_reviews(spark, sf_dir))
     return keywords.keyword_frequencies(rows, "review_text", "sentiment_label")
 
 
