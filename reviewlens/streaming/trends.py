@@ -24,7 +24,11 @@ def deduplicated(rows: DataFrame, key: str, time: str, delay: str = "2 days") ->
 def write_daily_counts(
     rows: DataFrame, time: str, positive: Column, negative: Column, out: str, checkpoint: str, delay: str = "2 days"
 ) -> StreamingQuery:
-    """Append each day once the watermark has passed it; process what is there and stop."""
+    """Append each day once the watermark has passed it; process what is there and stop.
+
+    Days still inside the watermark are not written yet and rows later than it are left out, as append mode
+    has it; ``upsert_daily_counts`` has every row at once.
+    """
     counts = daily_counts(rows.withWatermark(time, delay), time, positive, negative)
     return (
         counts.writeStream.outputMode("append")
