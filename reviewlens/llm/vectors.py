@@ -27,6 +27,7 @@ from reviewlens.sources.scratch import materialise
 SHARD_ROWS = 8192
 _SLACK = 1e-4
 _ROWS = 1024
+_MOST_TASKS = 50_000
 
 
 def _usable(embedding: str) -> Column:
@@ -172,8 +173,11 @@ def near_duplicate_vectors(
     graphs = shard_graphs(nodes.select("node", "space", "embedding", "copies"), folder, threshold, shard_rows)
     later = graphs.select("space", F.col("shard").alias("other_shard"), F.col("file").alias("other"))
     pairs = graphs.join(later, "space").where("other_shard >= shard").select("file", "other", "beam")
-    # One pair of shards a task where there are enough tasks: a block of work is never split unevenly by size.
-    reports = pairs.repartition("file", "other").mapInPandas(_compare(folder, threshold), "a bigint, b bigint, n bigint")
+    # Pairs of shards are few bytes and much work. A stated number of tasks keeps adaptive execution, which
+    # goes by bytes, from putting thousands of them into one.
+    pairs = materialise(pairs, "pairs")
+    tasks = max(1, min(pairs.count(), _MOST_TASKS))
+    reports = pairs.repartition(tasks, "file", "other").mapInPandas(_compare(folder, threshold), "a bigint, b bigint, n bigint")
     reports = materialise(reports, "reports")
     links = reports.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     roots = connected_components(reports.where("n = 0").select("a", "b"), "a", "b")
