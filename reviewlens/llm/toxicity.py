@@ -5,10 +5,11 @@ come from the whole corpus. A scan in linear time finds all maximal segments of
 theory says which of them are more than chance in a text of that length. A document's score sums its
 significant segments and is calibrated on labelled documents.
 
-Words are hashed into ``BUCKETS`` features, so that the model has a fixed size; it is gathered as sums per
-bucket and handed to the tasks. Labels enter through a sample of at most ``most_labels`` training rows, the
-ones with the smallest hashes of their ids: that is the only bounded part. Prior, scan and scores cover all
-documents.
+Words and their stems (first ``_STEM`` characters) are hashed into ``BUCKETS`` features, so that the model has a
+fixed size; it is gathered as sums per bucket and handed to the tasks. A word scores like its stem where the stem
+says more: inflected words are too rare to be learned one by one. Labels enter through a sample of at most
+``most_labels`` training rows, the ones with the smallest hashes of their ids: that is the only bounded part.
+Prior, scan and scores cover all documents.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BUCKETS = 1 << 18
 _PRIOR, _DRIFT, _CAP = 5000.0, 0.5, 6.0
 # A word counts as far as its log-odds exceed this many standard errors.
 _SURE = 2.0
+_STEM = 5
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 300_000
 _EULER = 0.5772156649
@@ -51,7 +53,7 @@ class Model:
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                value = float(scores[bucket(word)])
+                value = max((float(scores[b]) for b in buckets(word)), key=lambda x: abs(x + _DRIFT))
                 if len(self) < _KEPT_WORDS:
                     self[word] = value
                 return value
@@ -63,6 +65,11 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
 
 
+def buckets(word: str) -> tuple[int, ...]:
+    """Features of a word: itself, and its stem if it is longer than one."""
+    return (bucket(word), bucket(f"{word[:_STEM]}*")) if len(word) > _STEM else (bucket(word),)
+
+
 def segments(gains: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal scoring segments ``(score, start, end)``, end exclusive, in order; linear time.
 
@@ -112,18 +119,18 @@ def is_held_out(doc_id: Column) -> Column:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per bucket: all, toxic, clean."""
     counts = np.zeros((3, BUCKETS), dtype=np.int64)
-    known: dict[str, int] = {}
+    known: dict[str, tuple[int, ...]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             own = set(_WORD.findall((text or "").lower()))
             at = []
             for word in own:
-                b = known.get(word)
-                if b is None:
-                    b = bucket(word)
+                own_buckets = known.get(word)
+                if own_buckets is None:
+                    own_buckets = buckets(word)
                     if len(known) < _KEPT_WORDS:
-                        known[word] = b
-                at.append(b)
+                        known[word] = own_buckets
+                at += own_buckets
             at = np.unique(np.array(at, dtype=np.int64))
             counts[0, at] += 1
             if toxic in (0, 1):
