@@ -13,11 +13,14 @@ def iso_day(c: Column) -> Column:
     return c.cast("string").try_cast("date").cast("string")
 
 
+_DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy", "d.M.yy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+
+
 def day_first_date(c: Column) -> Column:
-    """Date of text written day first, or ISO; null when it cannot be read."""
+    """Date of text written day first, with month names, or ISO, with or without a time; null when it cannot be read."""
     text = F.trim(c.cast("string"))
-    forms = [F.try_to_date(text, form) for form in ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy")]
-    return F.coalesce(*forms, text.try_cast("date"))
+    forms = [F.try_to_date(text, f"{form}[ H:mm[:ss]]") for form in _DAY_FIRST]
+    return F.coalesce(*forms[:3], text.try_cast("date"), *forms[3:])
 
 
 def number_or(c: Column, default: float) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from reviewlens.schemas import NEGATIVE, POSITIVE
 from reviewlens.sources.scratch import materialise
 
-_HASH_BUCKETS = 1 << 17
+# Hex digits of a digest that make a bucket: 65,536 buckets.
+_BUCKET_DIGITS = 4
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
@@ -52,10 +53,10 @@ def ordinal_ids(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> D
 
 
 def _hash_position(key: str, seed: int) -> Column:
-    """Where a row stands in hash order: bucket, hash, key."""
-    hashed = F.xxhash64(F.col(key), F.lit(seed))
-    bucket = F.pmod(F.shiftright(hashed, 47), F.lit(_HASH_BUCKETS))
-    return F.struct(bucket.alias("bucket"), hashed.alias("hash"), F.col(key).alias("key"))
+    """Where a row stands in the order of MD5 digests of ``seed:key``, which any engine can repeat: bucket, digest, key."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    bucket = F.substring(digest, 1, _BUCKET_DIGITS)
+    return F.struct(bucket.alias("bucket"), digest.alias("hash"), F.col(key).alias("key"))
 
 
 def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quotas: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _hash_cutoffs(df: DataFrame, groups: Sequence[str], key: str, seed: int, quo
     """
     placed = df.select(*groups, _hash_position(key, seed).alias("_at")).withColumn("_bucket", F.col("_at.bucket"))
     counts = placed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most _HASH_BUCKETS rows per group.
+    # One row per bucket and group.
     running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     summed = counts.withColumn("_upto", F.sum("_n").over(running))
     if groups:

@@ -37,13 +37,16 @@ def _negative() -> Column:
 
 
 def enriched_reviews(
-    raw: DataFrame, mismatches: DataFrame, flagged: DataFrame, keep_opinions: bool = True
+    raw: DataFrame, mismatches: DataFrame, flagged: DataFrame, keep_opinions: bool = True, order: str | None = None
 ) -> DataFrame:
-    """Reviews with sentiment and both flags; every raw row appears once."""
-    sentiment = _one_per_review(
-        mismatches.select("review_id", "sentiment_label", "sentiment_score", "is_mismatch"), None
-    )
-    spam = _one_per_review(flagged.select("review_id", "is_spam"), None)
+    """Reviews with sentiment and both flags; every raw row appears once.
+
+    Of several results for a review the first by ``order`` counts, a column of both result tables.
+    """
+    first = [order] if order else []
+    scores = mismatches.select("review_id", "sentiment_label", "sentiment_score", "is_mismatch", *first)
+    sentiment = _one_per_review(scores, order).drop(*first)
+    spam = _one_per_review(flagged.select("review_id", "is_spam", *first), order).drop(*first)
     joined = raw.join(sentiment, "review_id", "left").join(spam, "review_id", "left")
     spam_flag = (
         keep_short_opinions(F.col("is_spam"), F.col("review_text"), F.col("star_rating"))

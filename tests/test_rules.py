@@ -106,6 +106,8 @@ def test_dates(spark):
     assert day("13/02/2025") == day("2025-02-13") == day("13-2-2025") == dt.date(2025, 2, 13)
     assert day("03/04/2025") == dt.date(2025, 4, 3)
     assert day("soon") is None and day(None) is None
+    for written in ("05/01/2025 10:30", "5 Jan 2025", "5 January 2025 07:00:30", "Jan 5, 2025", "05/01/25", "2025-01-05 10:30"):
+        assert day(written) == dt.date(2025, 1, 5), written
     assert on(spark, "d string", ("2025-02-30",), values.iso_day(F.col("d"))) == (None,)
     assert on(spark, "d string", ("2025-02-03 10:11:12",), values.iso_day(F.col("d"))) == ("2025-02-03",)
 

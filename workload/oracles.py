@@ -321,6 +321,18 @@ oracle(
 )
 oracle("trends_daily", "daily", "select * from daily order by date")
 oracle("reviews_enriched", "enriched", "select * from enriched")
+oracle(
+    "reviews_first_row",
+    "reviews scored spam",
+    """
+    select r.*,
+           case when r.seq % 2 = 1 then s.sentiment_label when s.sentiment_label = 'Positive' then 'Negative'
+                when s.sentiment_label = 'Negative' then 'Positive' end sentiment_label,
+           s.sentiment_score,
+           coalesce(s.is_mismatch <> (r.seq % 2 = 0), false) is_mismatch,
+           (f.is_short or f.is_repetitive or f.is_duplicate) <> (r.seq % 2 = 0) is_spam
+    from reviews r left join scored s using (review_id) join spam f using (review_id)""",
+)
 oracle(
     "reviews_filtered",
     "items",
@@ -501,18 +513,30 @@ oracle(
               cast(case when star_rating <= 2 then 0 when star_rating >= 4 then 1 end as double) as "label" from reviews""",
 )
 oracle("class_distribution", "training", 'select sentiment, count(*) "count" from training group by sentiment')
+# Test rows per label.
+PARTS |= {
+    "label_sizes": "select sentiment, count(*) n from training group by sentiment",
+    "exact_shares": "select *, n * ceil(sum(n) over () * 0.2) / sum(n) over () e from label_sizes",
+    "quotas": """select sentiment, n, floor(e) + case when row_number() over (order by e - floor(e) desc, sentiment)
+                     <= round(sum(e) over () - sum(floor(e)) over ()) then 1 else 0 end t from exact_shares""",
+}
+USES |= {"label_sizes": "training", "exact_shares": "label_sizes", "quotas": "exact_shares"}
 oracle(
     "stratified_split_counts",
-    "training",
+    "quotas",
     """
-    with_sizes as (select sentiment, count(*) n from training group by sentiment),
-    exact as (select *, n * ceil(sum(n) over () * 0.2) / sum(n) over () e from with_sizes),
-    tests as (select sentiment, n, floor(e) + case when row_number() over (order by e - floor(e) desc, sentiment)
-                     <= round(sum(e) over () - sum(floor(e)) over ()) then 1 else 0 end t from exact)
-    select sentiment, true is_test, cast(t as bigint) "count" from tests
-    union all select sentiment, false, cast(n - t as bigint) from tests""",
-)
-ORACLES["stratified_split_counts"] = ORACLES["stratified_split_counts"].replace("\n\n    with_sizes", ", with_sizes")
+    select sentiment, true is_test, cast(t as bigint) "count" from quotas
+    union all select sentiment, false, cast(n - t as bigint) from quotas""",
+)
+oracle(
+    "split_membership",
+    "quotas",
+    """
+    select review_id, sentiment,
+           row_number() over (partition by sentiment order by md5('42:' || review_id), review_id) <= t is_test
+    from training join quotas using (sentiment)""",
+)
+oracle("sampled_reviews", "reviews", "select * from reviews order by md5('42:' || review_id), review_id limit 500")
 oracle(
     "lexicon_scores",
     "lexicon_scores",

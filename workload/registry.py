@@ -89,6 +89,21 @@ def reviews_enriched(spark, sf_dir):
     return _enriched(spark, sf_dir)
 
 
+@query
+def reviews_first_row(spark, sf_dir):
+    """Each result table holds two rows per review that disagree; of even reviews the second one stands first."""
+    number = F.col("review_id").cast("long")
+
+    def twice(df, **other):
+        placed = df.withColumn("at", 2 * number)
+        return placed.unionByName(placed.withColumns({**other, "at": 2 * number + F.when(number % 2 == 0, -1).otherwise(1)}))
+
+    label = F.when(F.col("sentiment_label") == "Positive", "Negative").when(F.col("sentiment_label") == "Negative", "Positive")
+    mismatches = twice(views.mismatches(spark, sf_dir), sentiment_label=label, is_mismatch=~F.col("is_mismatch"))
+    flags = twice(_flags(spark, sf_dir), is_spam=~F.col("is_spam"))
+    return dashboard.enriched_reviews(views.reviews(spark, sf_dir), mismatches, flags, keep_opinions=False, order="at")
+
+
 @query
 def reviews_filtered(spark, sf_dir):
     matching = dashboard.matching_reviews(
@@ -305,6 +320,12 @@ def stratified_split_counts(spark, sf_dir):
     return split.groupBy("sentiment", "is_test").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query
+def split_membership(spark, sf_dir):
+    split = stratified_split(_training_rows(spark, sf_dir), "sentiment", "review_id")
+    return split.select("review_id", "sentiment", "is_test")
+
+
 @query
 def sampled_reviews(spark, sf_dir):
     return seeded_sample(views.reviews(spark, sf_dir), "review_id", 500)
