@@ -43,19 +43,31 @@ def stream_uploads(
 ) -> StreamingQuery:
     """Score every CSV that appears in ``folder``; process what is there and stop.
 
-    Results go to ``out/scored/batch=N`` and one row per batch to ``out/job_status``.
-    A batch that is tried again overwrites its own folder.
+    Results go to ``out/scored/batch=N`` and one row per batch to ``out/job_status``: processing, then completed
+    or failed. A batch that is tried again overwrites its own folder. Ids are the batch and a number in it, so equal rows differ.
     """
     reader = spark.readStream.schema(schema).option("header", True).option("multiLine", True)
     source = reader.option("escape", '"').csv(folder)
 
+    def report(number: int, status: str, current: int | None, total: int | None) -> None:
+        row = {"batch_id": F.lit(number), "status": F.lit(status), "current": F.lit(current), "total": F.lit(total)}
+        kinds = {"batch_id": "bigint", "status": "string", "current": "bigint", "total": "bigint"}
+        made = spark.range(1).select(*[value.cast(kinds[name]).alias(name) for name, value in row.items()])
+        made.write.mode("overwrite").parquet(f"{out}/job_status/batch={number}")
+
     def handle(batch: DataFrame, number: int) -> None:
         target = f"{out}/scored/batch={number}"
-        score_upload(batch, scorer, today).write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target)
-        written.agg(F.count(F.lit(1)).alias("current"), F.count(F.lit(1)).alias("total")).select(
-            F.lit(number).cast("bigint").alias("batch_id"), F.lit("completed").alias("status"), "current", "total"
-        ).write.mode("overwrite").parquet(f"{out}/job_status/batch={number}")
+        report(number, "processing", 0, None)
+        try:
+            placed = batch.withColumn("_line", F.monotonically_increasing_id())
+            scored = score_upload(placed, scorer, today)
+            numbered = scored.withColumn("review_id", F.concat_ws("-", F.lit(number), F.col("_line"))).drop("_line")
+            numbered.write.mode("overwrite").parquet(target)
+            rows = spark.read.parquet(target).count()
+        except Exception:
+            report(number, "failed", 0, None)
+            raise
+        report(number, "completed", rows, rows)
 
     return (
         source.writeStream.foreachBatch(handle)
@@ -66,7 +78,7 @@ def stream_uploads(
 
 
 def job_status(spark: SparkSession, out: str) -> DataFrame:
-    """``(batch_id, status, current, total, percent)`` of the finished batches."""
+    """``(batch_id, status, current, total, percent)`` of the batches begun; ``total`` is null until a batch is done."""
     return spark.read.parquet(f"{out}/job_status").select(
         "batch_id",
         "status",

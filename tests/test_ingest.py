@@ -104,7 +104,7 @@ def test_tables(spark, raw, tmp_path):
 def test_upload_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    write(folder / "a.csv", 'text,rating\n"I love it,\nreally",1\nok,3\n')
+    write(folder / "a.csv", 'text,rating\n"I love it,\nreally",1\nok,3\nok,3\n')
     write(folder / "b.csv", "text,rating\nterrible crash,5\n")
     schema = ingest.csv_schema(spark, str(folder / "a.csv"))
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
@@ -115,16 +115,34 @@ def test_upload_stream_equals_batch(spark, tmp_path):
         return query
 
     query = run()
-    assert uploads.progress(query) == {"job_id": str(query.id), "status": "completed", "current": 3, "error": None}
-    columns = ["review_id", "review_text", "sentiment_label", "is_mismatch", "is_spam"]
-    streamed = spark.read.parquet(f"{out}/scored").select(columns)
+    assert uploads.progress(query) == {"job_id": str(query.id), "status": "completed", "current": 4, "error": None}
+    columns = ["review_text", "sentiment_label", "is_mismatch", "is_spam"]
+    scored = spark.read.parquet(f"{out}/scored")
+    assert scored.select("review_id").distinct().count() == 4  # equal rows are rows of their own
+    streamed = scored.select(columns)
     batch = uploads.score_upload(ingest.read_csv(spark, str(folder)).rows, lexicon_scorer(), today()).select(columns)
     assert sorted(streamed.collect()) == sorted(batch.collect())
     assert {(r.is_mismatch, r.is_spam) for r in batch.collect()} == {(True, False), (False, True)}
     write(folder / "c.csv", "text,rating\nnew file,4\n")
     run()
     status = uploads.job_status(spark, out).orderBy("batch_id").collect()
-    assert [(r.status, r.current, r.percent) for r in status] == [("completed", 3, 100), ("completed", 1, 100)]
+    assert [(r.status, r.current, r.percent) for r in status] == [("completed", 4, 100), ("completed", 1, 100)]
+
+
+def test_failed_upload_batch_is_reported(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", "text,rating\nok,3\n")
+    schema = ingest.csv_schema(spark, str(folder / "a.csv"))
+
+    def broken(df):
+        raise ValueError("no model")
+
+    query = uploads.stream_uploads(spark, str(folder), schema, str(tmp_path / "out"), broken, str(tmp_path / "state"), today())
+    with pytest.raises(Exception, match="no model"):
+        query.awaitTermination()
+    status = uploads.job_status(spark, str(tmp_path / "out")).first()
+    assert (status.status, status.current, status.percent) == ("failed", 0, None)
 
 
 def test_dataset_swap(spark, tmp_path):
