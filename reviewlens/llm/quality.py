@@ -2,8 +2,11 @@
 
 Statistics of every text become a vector of logarithms. Per (language, source) the minimum covariance
 determinant is sought by concentration steps: from medians and quartile ranges, keep the share of rows with
-the smallest Mahalanobis distances, take their mean and covariance, repeat. Rows far from the final estimate
-are rejected. Everything is native expressions.
+the smallest Mahalanobis distances, take their mean and covariance, repeat. Rows beyond a chi-squared quantile
+of the final estimate are rejected. Everything is native expressions.
+
+A variance counts as estimated, but for one that falls short of what a single text resolves: the counting error
+of its words, or half a symbol, line or window at the usual length of the group. That much is put in its place.
 
 Vectors are rounded to fixed point, so all sums are exact integers and do not depend on row order. Groups
 enter the steps only as partial sums per (group, distance bin): a source with a third of all rows is no
@@ -23,9 +26,15 @@ from reviewlens.sources.scratch import materialise
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WINDOW = 8
 # Fixed point of the vectors, and the least standard deviation per component: length, word length, symbols,
-# duplicate lines, repeated words. Constant components keep a finite scale this way.
+# duplicate lines, repeated words, as SQL of the first two means. Constant components keep a finite scale this way.
 _SCALE = 256
-_FLOORS = (1.0, 0.25, 0.75, 0.75, 0.75)
+_FLOORS = (
+    "exp(-{0} / 2)",
+    "0.5 * exp(-{0} / 2)",
+    "0.5 * ln(1 + 1000 * exp(-{0} - {1}))",
+    "0.5 * ln(1 + 100 * exp(-{0}))",
+    "0.5 * ln(1 + 800 * exp(-{0}))",
+)
 _P = len(_FLOORS)
 # Distance bins per factor e.
 _BINS = 64
@@ -135,22 +144,26 @@ def _distance(vector: list[str], p: str) -> str:
 def _estimate(moments: DataFrame, inflate: float) -> DataFrame:
     """``(key, p)``: mean and inverse Cholesky factor from exact sums.
 
-    The covariance is scaled by ``inflate``, its diagonal raised by the squared floors. One projection per row
-    of the factor, so that no expression repeats another.
+    The covariance is scaled by ``inflate``; variances below the squared floors are raised to them, and pivots
+    to the resolution of the vectors. One projection per row of the factor, so that no expression repeats another.
     """
     means = [f"s{i} / n / {_SCALE}e0 as m{i}" for i in range(_P)]
     covs = []
     for i in range(_P):
         for j in range(i + 1):
-            floor = _FLOORS[i] ** 2 if i == j else 0.0
             cov = f"q{i}{j} / n / {_SCALE**2}e0 - (s{i} / n / {_SCALE}e0) * (s{j} / n / {_SCALE}e0)"
-            covs.append(f"{inflate!r}D * ({cov}) + {floor!r}D as c{i}{j}")
-    fitted = moments.selectExpr("key", *means, *covs)
+            covs.append(f"{inflate!r}D * ({cov}) as r{i}{j}")
+    raised = [
+        f"greatest(r{i}{j}, power({_FLOORS[i].format('m0', 'm1')}, 2)) as c{i}{j}" if i == j else f"r{i}{j} as c{i}{j}"
+        for i in range(_P)
+        for j in range(i + 1)
+    ]
+    fitted = moments.selectExpr("key", *means, *covs).selectExpr("*", *raised)
     for i in range(_P):
         for j in range(i + 1):
             below = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             left = f"c{i}{j}{below}"
-            fitted = fitted.selectExpr("*", f"sqrt(greatest({left}, 1e-9D)) as l{i}{i}" if i == j else f"({left}) / l{j}{j} as l{i}{j}")
+            fitted = fitted.selectExpr("*", f"sqrt(greatest({left}, {_SCALE**-2!r}D)) as l{i}{i}" if i == j else f"({left}) / l{j}{j} as l{i}{j}")
     for i in range(_P):
         entries = []
         for j in range(i):
@@ -180,7 +193,7 @@ def _start(vectors: DataFrame) -> DataFrame:
     parts = spread.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "mid", "sd"))).alias("d"))
     inverse = []
     for i in range(_P):
-        inverse += ["0D"] * i + [f"1 / sqrt(power(d[{i}].sd, 2) + {_FLOORS[i] ** 2!r}D)"]
+        inverse += ["0D"] * i + [f"1 / greatest(d[{i}].sd, {_FLOORS[i].format('d[0].mid', 'd[1].mid')})"]
     return parts.selectExpr("key", f"struct(d.mid as mean, array({', '.join(inverse)}) as inverse) as p")
 
 
@@ -217,7 +230,8 @@ def fit(
             )
             inflate = kept_share
         else:  # last, all rows inside the 97.5 % quantile: less is lost to the estimate
-            near, inflate = binned.where(F.col("bin") <= math.log(_chi2_quantile(0.975, _P)) * _BINS), 1.0
+            last = _chi2_quantile(0.975, _P)
+            near, inflate = binned.where(F.col("bin") <= math.log(last) * _BINS), 0.975 / _chi2_cdf(last, _P + 2)
         names = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i in range(_P) for j in range(i + 1)]]
         moments = near.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
         estimate = materialise(_estimate(moments, inflate), "estimate")
@@ -225,20 +239,20 @@ def fit(
 
 
 def judged(
-    counted: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = 30.0
+    counted: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source", quantile: float = 0.9999
 ) -> DataFrame:
     """Adds ``base_failed``, ``distance`` (squared; null where no estimate holds) and ``kept``.
 
-    A row is kept if the base rules pass and its distance is at most ``cutoff``, far out in the tail of a
-    chi-squared variate with five degrees: only texts unlike any other of their group go. A row without
-    an estimate is judged by the base rules alone.
+    A row is kept if the base rules pass and its distance is within the ``quantile`` of a chi-squared variate
+    with five degrees: of normal rows one in ten thousand goes. A row without an estimate is judged by the
+    base rules alone.
     """
     group, p = unused(counted, "_group"), unused(counted, "_p")
     named = estimates.select(F.col("group").alias(group), F.col("p").alias(p))
     joined = counted.withColumn(group, null_safe_key(F.col(lang), F.col(source))).join(named, group, "left")
     distance = F.expr(_distance(_vector(), f"`{p}`"))
     joined = joined.withColumns({"base_failed": base_failed(), "distance": distance})
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= _chi2_quantile(quantile, _P), F.lit(True))
     return joined.withColumn("kept", kept).drop(group, p)
 
 

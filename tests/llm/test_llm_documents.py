@@ -94,6 +94,23 @@ def test_quality_estimates_find_planted_outliers(spark):
     assert quality._chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
 
 
+def test_quality_rejects_outliers_in_one_statistic_and_keeps_clean_rows(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.normal(6, 0.2, 3000)
+    rows = [(i, int(np.exp(x)), int(np.exp(x) * 5 * np.exp(rng.normal(0, 0.06))), 0, 0, 0) for i, x in enumerate(lengths)]
+    # Ordinary rows with a single symbol, repeated line or passage.
+    clean = [(5000, 400, 2000, 1, 0, 0), (5001, 400, 2000, 0, 1, 0), (5002, 400, 2000, 0, 0, 16), (5003, 400, 2000, 0, 1, 16)]
+    planted = [(9000, 400, 4000, 0, 0, 0), (9001, 400, 2000, 40, 0, 0), (9002, 400, 2000, 0, 12, 0), (9003, 400, 2000, 0, 0, 110)]
+    planted += [(9004, 40, 200, 0, 0, 0), (9005, 4000, 20000, 0, 0, 0)]
+    table = spark.createDataFrame(
+        [(*r, "en", "src") for r in rows + clean + planted],
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, source string",
+    )
+    gone = {r.doc_id for r in quality.judged(table, quality.fit(table)).collect() if not r.kept}
+    assert {r[0] for r in planted} <= gone and not gone & {r[0] for r in clean}
+    assert len(gone) - len(planted) <= 3
+
+
 def test_quality_filter_keeps_columns_and_empty_tables(documents, nothing):
     kept = quality.quality_filtered(documents)
     assert kept.columns == documents.columns
