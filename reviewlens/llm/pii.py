@@ -222,19 +222,23 @@ def revealing_terms(df: DataFrame, found: DataFrame, text: str, alpha: float = 0
     """``(term, class)`` of the terms that disclose at least ``alpha`` of an entity's information.
 
     An entity counts only with ``support`` distinct contexts, a term only if it stands in so many of them.
-    ``class`` is the kind of the entity most disclosed.
+    ``class`` is the kind of the entity most disclosed. Of the texts with a term or an
+    entity copies count once.
     """
-    contexts = found.select(F.explode("contexts").alias("c")).select("c.*").distinct()
-    near = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    near = materialise(near, "near")
+    contexts = found.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.*").distinct()
+    texts = contexts.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    places = contexts.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    near = materialise(places.where(F.col("contexts") >= support).join(texts, ["entity", "term"]).drop("contexts"), "near")
     candidates = near.select("term").distinct()
     table = _bit_table(candidates)
     if table is None:
         return near.select("term", F.lit("").alias("class")).limit(0)
-    counted = df.select(F.col(text).alias("text")).mapInArrow(_counts_pass(table), "term string, n bigint")
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = df.select(_text_key(body).alias("text_key"), body.alias("text"))
+    counted = keyed.dropDuplicates(["text_key"]).select("text").mapInArrow(_counts_pass(table), "term string, n bigint")
     holders = counted.groupBy("term").agg(F.sum("n").alias("n"))
-    entity_sizes = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("size"))
-    documents = df.count()
+    entity_sizes = contexts.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("size"))
+    documents = df.count()  # with copies: at most more terms count as revealing
     p_entity = F.least(F.col("size") / F.lit(float(documents)), F.lit(1.0))
     p_given = F.least(F.col("both") / F.col("n"), F.lit(1.0))
     share = F.log(p_given / p_entity) / -F.log(p_entity)

@@ -240,6 +240,15 @@ def test_copies_of_a_context_count_once(spark):
     assert {r.spans for r in pii.pii_report(df).collect()} == {"email:13:23", ""}
 
 
+def test_copies_of_a_page_do_not_hide_a_revealing_term(spark):
+    fill = ["alpha beta", "gamma delta", "epsilon zeta", "eta theta", "iota kappa", "lambda sigma"]
+    rows = [(i, f"{fill[i]} reach Zorblatt via z@mail.org {fill[-i]} today {i} {fill[(i * 2) % 6]}") for i in range(6)]
+    rows += [(10 + i, f"number {i} {fill[i % 6]} via today or reach never") for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(1000)] + [(5000, "only Zorblatt stands here")]
+    spans = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(spans) == len(rows) and spans[5000] == "term-email:5:13" and spans[10] == ""
+
+
 def test_shards_are_whole_gapless_and_move_only_to_the_new_one(documents, nothing):
     rows = sharding.assign_shards(documents, sharding.HashTree.even(40)).collect()
     assert len(rows) == documents.count()
