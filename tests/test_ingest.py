@@ -158,3 +158,13 @@ def test_dataset_swap(spark, tmp_path):
     finally:
         for name in reports.upload_tables(scored):
             spark.catalog.dropTempView(name)
+
+
+def test_store_export_keeps_rows_without_an_app(spark, monkeypatch):
+    from workload import registry
+
+    columns = "review_id string, review_text string, star_rating double, review_date string, app_name string"
+    rows = [("a", "x", 1.0, None, "src1"), ("b", "y", 2.0, None, "src3"), ("c", "z", 3.0, None, None)]
+    monkeypatch.setattr(registry.views, "reviews", lambda spark, sf_dir: spark.createDataFrame(rows, columns))
+    got = registry.QUERIES["store_export"](spark, "").collect()
+    assert {(r.review_id, r.app_name, r.thumbs_up) for r in got} == {("a", "one", None), ("b", "two", 1), ("c", "two", None)}

@@ -405,7 +405,7 @@ def store_export(spark, sf_dir):
         "review_id as reviewId", "review_text as content", "star_rating as score", "review_date as at", "app_name as app"
     )
     first = exported.where("app < 'src2'").drop("app")
-    second = exported.where("app >= 'src2'").drop("app").withColumn("thumbsUpCount", F.lit(1))
+    second = exported.where("app is null or app >= 'src2'").selectExpr("* except (app)", "if(app is null, null, 1) as thumbsUpCount")
     return ingest.conform_store_export(ingest.union_apps({"one": first, "two": second}))
 
 
