@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import chat, mixing, packing, pii, quality, sharding, simhash, toxicity, vectors, warc
+from reviewlens.llm import chat, mixing, packing, pii, quality, ranking, sharding, simhash, toxicity, vectors, warc
 
 SHARDS = 40
 
@@ -64,6 +64,10 @@ def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": warc_archives,
     "op2_quality_rules": quality_rules,
@@ -75,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": source_mixture,
     "op9_packing": packed_sequences,
     "op10_vectors": vector_duplicates,
+    "op12_ranked_search": ranked_search,
 }
 
 # The others need hashes, tokens or models that SQL does not have; tests hold them against plain versions.
-ORACLES: dict[str, str] = {"op8_mixing": mixing.mixture_sql()}
+ORACLES: dict[str, str] = {"op8_mixing": mixing.mixture_sql(), "op12_ranked_search": ranking.ranked_sql()}
