@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import mixing, packing, pii, quality, shingles
+from reviewlens.llm import mixing, packing, pii, quality, simhash
 from reviewlens.sources.scratch import materialise
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle similarity 0.8 or more: the one with the smallest id."""
-    return shingles.without_similar(docs)
+    """One document of each component of SimHash fingerprints (three words, two bits): the one with the smallest id."""
+    return simhash.without_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
