@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import chat, mixing, packing, pii, quality, ranking, sharding, simhash, toxicity, vectors, warc
+from reviewlens.llm import chat, mixing, packing, pii, quality, ranking, repair, sharding, simhash, toxicity, vectors, warc
 
 SHARDS = 40
 
@@ -64,6 +64,10 @@ def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": source_mixture,
     "op9_packing": packed_sequences,
     "op10_vectors": vector_duplicates,
+    "op11_conversation_repair": conversation_repair,
     "op12_ranked_search": ranked_search,
 }
 
