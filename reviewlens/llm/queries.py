@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import chat, mixing, packing, pii, quality, ranking, repair, sharding, simhash, toxicity, vectors, warc
+from reviewlens.llm import chat, mixing, packing, pii, quality, ranking, repair, repeats, sharding, simhash, toxicity, vectors, warc
 
 SHARDS = 40
 
@@ -72,6 +72,10 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": warc_archives,
     "op2_quality_rules": quality_rules,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vectors": vector_duplicates,
     "op11_conversation_repair": conversation_repair,
     "op12_ranked_search": ranked_search,
+    "op13_repeated_passages": repeated_passages,
 }
 
 # The others need hashes, tokens or models that SQL does not have; tests hold them against plain versions.
