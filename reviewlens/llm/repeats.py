@@ -41,10 +41,14 @@ _LENGTH = 400
 _MOST, _BUILD = 4096, 8192
 # Window starts hashed at a time, so that a very long text needs no long table; rows of a batch.
 _CHUNK, _ROWS = 1 << 16, 1 << 15
+# The low bits of a hash give way to the place in a chunk.
+_PLACES = 1 << 17
+# Bits of the table of wanted texts; half a megabyte.
+_WANTED_BITS = 22
 _NO_SYMBOL = 256
 _SYMBOLS = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_NOT_ONE = "n > 1"
+_TWICE = "n > 1"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -53,15 +57,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(found)
 
 
-def _sliding(values: np.ndarray, width: int, of: np.ufunc, worst: int) -> np.ndarray:
-    """Least or greatest value of every ``width`` neighbours, by running values from both ends of blocks."""
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by running values from both ends of blocks."""
     n = len(values)
-    blocks = np.full(-(-n // width) * width, worst, dtype=np.uint64)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     blocks[:n] = values
     blocks = blocks.reshape(-1, width)
-    ahead = of.accumulate(blocks, axis=1).ravel()
-    back = of.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return of(back[: n - width + 1], ahead[width - 1 : n])
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
 class Anchors:
@@ -81,14 +85,12 @@ class Anchors:
         return found ^ (found >> np.uint64(29))
 
     def starts(self, text: bytes) -> np.ndarray:
-        """Where the cores start that have the least hash of some window, all of equal ones."""
+        """Where the cores start that have the least hash of some window, the first of equal ones."""
         data, found = np.frombuffer(text, dtype=np.uint8), []
         for at in range(0, len(data) - self.length + 1, _CHUNK):
             hashes = self._hashes(data[at : at + _CHUNK + self.length - 1])
-            least = _sliding(hashes, self.places, np.minimum, np.iinfo(np.uint64).max)
-            rim = np.zeros(self.places - 1, dtype=np.uint64)
-            highest = _sliding(np.concatenate((rim, least, rim)), self.places, np.maximum, 0)
-            found.append(np.flatnonzero(highest == hashes) + at)
+            placed = hashes & ~np.uint64(_PLACES - 1) | np.arange(len(hashes), dtype=np.uint64)
+            found.append((_least(placed, self.places) & np.uint64(_PLACES - 1)).astype(np.int64) + at)
         return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
 
 
@@ -102,47 +104,87 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _anchored(length: int, core: int) -> Callable:
-    """Anchors of every text. Two copies of a text say as much as many, so a task passes over the others."""
+    """Anchors of every text, and as rows without a core the runs of starts that repeat within the text.
+
+    Two copies say as much as many, of a text in a task as of a context in a text: others are passed over. A context
+    that a text holds twice repeats as a whole, so its starts are known at once; a text of one repeated line has
+    few anchors left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, seen = Anchors(length, core), Counter()
-        names = ("text_key", "at", "core", "extent")
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        rows: tuple[list, ...] = ([], [], [], [])
+        finder, copies = Anchors(length, core), Counter()
+        schema = pa.schema([("text_key", pa.binary()), ("at", pa.int64()), ("last", pa.int64()), ("core", pa.int64()), ("extent", pa.binary())])
+        rows: list[tuple] = []
 
         def flushed() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], list(names))
-            for column in rows:
-                column.clear()
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            rows.clear()
             return made
 
+        def add(key: bytes, text: bytes) -> None:
+            starts = finder.starts(text).tolist()
+            digests = []
+            for at in starts:
+                left, middle, right = context(text, at, length, core)
+                whole = xxhash.xxh3_128(b"%d:" % len(left))
+                for part in (left, middle, right):
+                    whole.update(part)
+                digests.append((xxhash.xxh3_64_intdigest(middle) - (1 << 63), whole.digest()))
+            times, told = Counter(digests), Counter()
+            own = [at for at, pair in zip(starts, digests, strict=True) if times[pair] > 1]
+            edges = [i for i in range(1, len(own)) if own[i] - own[i - 1] > length - core + 1]
+            for i, after in zip([0, *edges], [*edges, len(own)], strict=True) if own else ():
+                rows.append((key, own[i] - (length - core), own[after - 1], None, None))
+            for at, pair in zip(starts, digests, strict=True):
+                told[pair] += 1
+                if told[pair] <= 2:
+                    rows.append((key, at, None, *pair))
+
         for batch in batches:
             for key, text in zip(batch.column("text_key").to_pylist(), _texts(batch), strict=True):
-                seen[key] += 1
-                if len(text) < length or seen[key] > 2:
-                    continue
-                for at in finder.starts(text).tolist():
-                    left, middle, right = context(text, at, length, core)
-                    whole = xxhash.xxh3_128(b"%d:" % len(left))
-                    for part in (left, middle, right):
-                        whole.update(part)
-                    value = xxhash.xxh3_64_intdigest(middle)
-                    for column, x in zip(rows, (key, at, value - (1 << 63), whole.digest()), strict=True):
-                        column.append(x)
-                    if len(rows[0]) >= _ROWS:
-                        yield flushed()
-        yield flushed()
+                copies[key] += 1
+                if len(text) >= length and copies[key] <= 2:
+                    add(key, text)
+                if len(rows) >= _ROWS:
+                    yield flushed()
+        if rows:
+            yield flushed()
 
     return run
 
 
-def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per task of every text."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys = batch.column("text_key").to_pylist()
-        fresh = [key not in seen and not seen.add(key) for key in keys]
-        yield batch.filter(pa.array(fresh, pa.bool_()))
+def _wanted_table(keyed: DataFrame) -> bytes:
+    """A bit for the first bits of every ``text_key``. It is half a megabyte, whatever the number of keys."""
+    at = F.shiftright(F.conv(F.hex(F.substring("text_key", 1, 3)), 16, 10).cast("long"), 24 - _WANTED_BITS) + 1
+    parts = keyed.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
+    table = bytearray(1 << _WANTED_BITS - 3)
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
+        table[(row.part - 1) * len(row.bits) : row.part * len(row.bits)] = row.bits
+    return bytes(table)
+
+
+def _texts_of(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``keyed`` with the texts, one row per key and task that holds the text.
+
+    Texts whose bit is not set stay out of the shuffle. With very many keys all bits are set and all texts go; the rows
+    are the same.
+    """
+    table = _wanted_table(keyed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def wanted(key: bytes) -> bool:
+            at = int.from_bytes(key[:3], "big") >> 24 - _WANTED_BITS
+            if not table[at >> 3] >> (at & 7) & 1 or key in seen:
+                return False
+            seen.add(key)
+            return True
+
+        for batch in batches:
+            yield batch.filter(pa.array([wanted(key) for key in batch.column("text_key").to_pylist()], pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema).join(keyed, "text_key")
 
 
 def _contexts(length: int, core: int) -> Callable:
@@ -159,6 +201,7 @@ def _contexts(length: int, core: int) -> Callable:
                         "core": pa.array([row["core"] for row in part], pa.int64()),
                         "extent": pa.array([row["extent"] for row in part], pa.binary()),
                         "n": pa.array([row["n"] for row in part], pa.int64()),
+                        "members": pa.array([row["members"] for row in part], pa.int64()),
                         "key": pa.array([xxhash.xxh3_128_digest(middle) for _, middle, _ in cut], pa.binary()),
                         "left": pa.array([left for left, _, _ in cut], pa.binary()),
                         "right": pa.array([right for _, _, right in cut], pa.binary()),
@@ -236,15 +279,16 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], w
 
 
 def _built(width: int, middle: int) -> Callable:
-    """Runs of repeated windows of the collections in a task's rows, sorted by ``key``."""
+    """Runs of repeated windows of the collections in a task's rows, sorted by ``key`` and context."""
 
     def build(rows: list[dict]) -> pa.RecordBatch:
-        keys = [row["key"] for row in rows]
-        group = np.cumsum([i > 0 and keys[i] != keys[i - 1] for i in range(len(keys))])
+        # A context that came from more than one copy of its text counts once.
+        rows = [row for i, row in enumerate(rows) if not i or (row["key"], row["extent"]) != (rows[i - 1]["key"], rows[i - 1]["extent"])]
+        group = np.cumsum([i > 0 and row["key"] != rows[i - 1]["key"] for i, row in enumerate(rows)])
         runs = repeated_windows(group, [row["left"] for row in rows], [row["right"] for row in rows], width, middle)
         return pa.RecordBatch.from_pydict({
-            "key": pa.array([keys[i] for i, _, _ in runs], pa.binary()),
-            "piece": pa.array([rows[i]["piece"] for i, _, _ in runs], pa.binary()),
+            "core": pa.array([rows[i]["core"] for i, _, _ in runs], pa.int64()),
+            "extent": pa.array([rows[i]["extent"] for i, _, _ in runs], pa.binary()),
             "first": pa.array([first for _, first, _ in runs], pa.int64()),
             "last": pa.array([last for _, _, last in runs], pa.int64()),
         })
@@ -263,54 +307,66 @@ def _built(width: int, middle: int) -> Callable:
     return run
 
 
+def _built_runs(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """``(core, extent, first, last)`` of collections that fit in a task, from ``(key, core, extent, left, right)``."""
+    dealt = contexts.select("key", "core", "extent", "left", "right").repartition("key").sortWithinPartitions("key", "extent")
+    return dealt.mapInArrow(_built(width, length - width), "core long, extent binary, first long, last long")
+
+
 def _digest(*parts: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, 16)
 
 
-def _halves(entries: DataFrame, width: int) -> list[tuple[DataFrame, int]]:
-    """Entries of collections that are too large, by the lower and the upper half of their windows, with their widths."""
-    left, right, made = F.col("left"), F.col("right"), []
-    size = F.octet_length("left")
-    for first, last in ((0, width // 2), (width // 2 + 1, width)):
+def _halves(entries: DataFrame, width: int) -> DataFrame:
+    """Entries of collections that are too large, by the lower and the upper half of their windows, ``width // 2`` wide.
+
+    With an even width the window in the middle is in both.
+    """
+    left, right, parts = F.col("left"), F.col("right"), []
+    size, half = F.octet_length("left"), width // 2
+    for first, last in ((0, half), (width - half, width)):
         held = entries.where((size >= width - last) & (F.octet_length("right") >= first))
-        # Of the left, what all windows have is width - last bytes at its end; before it, last - first bytes vary.
+        # Of the left, what all windows have is width - last bytes at its end; the half bytes before it vary.
         begin = F.greatest(F.lit(0), size - (width - first))
         fixed = F.substring(left, size - (width - last) + 1, F.lit(width - last))
-        key = _digest(F.col("key"), fixed, F.substring(right, F.lit(1), F.lit(first)))
+        key = _digest(F.col("key"), F.lit(b"%d:" % first), fixed, F.substring(right, F.lit(1), F.lit(first)))
         part = held.select(
             "core", "extent", "n", key.alias("key"), (F.col("shift") + first).alias("shift"),
             F.substring(left, begin + 1, size - (width - last) - begin).alias("left"),
-            F.substring(right, F.lit(first + 1), F.lit(last - first)).alias("right"),
+            F.substring(right, F.lit(first + 1), F.lit(half)).alias("right"),
         )
-        made.append((part, last - first))
-    return made
+        parts.append(part)
+    return parts[0].unionByName(parts[1])
 
 
-def _runs(entries: DataFrame, width: int, length: int) -> list[DataFrame]:
+def _runs(entries: DataFrame, width: int, length: int) -> DataFrame:
     """``(core, extent, first, last)``: runs of repeated windows of the entries' owners, by way of their collections.
 
     An entry is a context's part ``left`` and ``right`` of what its collection ``key`` has in common, standing ``n``
-    times; its windows are those of its owner from ``shift`` on.
+    times; its windows are those of its owner ``(core, extent)`` from ``shift`` on.
     """
     size = F.lpad(F.octet_length("left").cast("string"), 6, "0").cast("binary")
-    entries = materialise(entries.withColumn("piece", _digest(size, F.col("left"), F.col("right"))), "entries")
+    entries = materialise(entries.withColumn("piece", _digest(F.col("key"), size, F.col("left"), F.col("right"))), "entries")
     pieces = materialise(entries.groupBy("key", "piece", "left", "right").agg(F.sum("n").alias("n")), "pieces")
-    whole = pieces.where(_NOT_ONE).select(
-        "key", "piece", F.greatest(F.lit(0), width - F.octet_length("left")).cast("long").alias("first"),
+    whole = pieces.where(_TWICE).select(
+        "piece", F.greatest(F.lit(0), width - F.octet_length("left")).cast("long").alias("first"),
         F.least(F.lit(width), F.octet_length("right")).cast("long").alias("last"),
     )
-    mixed = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest")).where("members > 1 and fewest = 1")
-    mixed = materialise(mixed.select("key", "members"), "collections")
-    built = pieces.drop("n").join(mixed.where(F.col("members") <= _MOST), "key").drop("members")
-    built = built.repartition("key").sortWithinPartitions("key").mapInArrow(_built(width, length - width), "key binary, piece binary, first long, last long")
-    owners = entries.select("key", "piece", "core", "extent", "shift")
-    owned = owners.join(whole.unionByName(built), ["key", "piece"])
-    found = [materialise(owned.selectExpr("core", "extent", "first + shift as first", "last + shift as last"), "runs")]
+    mixed = materialise(_mixed(pieces, "key"), "collections")
+    small = pieces.join(mixed.where(F.col("members") <= _MOST), "key")
+    built = _built_runs(small.selectExpr("key", "0L as core", "piece as extent", "left", "right"), width, length)
+    owned = entries.select("piece", "core", "extent", "shift").join(whole.unionByName(built.selectExpr("extent as piece", "first", "last")), "piece")
+    found = materialise(owned.selectExpr("core", "extent", "first + shift as first", "last + shift as last"), "runs")
     large = mixed.where(F.col("members") > _MOST).select("key")
-    if not large.isEmpty():
-        for half, narrower in _halves(entries.join(large, "key"), width):
-            found += _runs(half, narrower, length)
-    return found
+    if large.isEmpty():
+        return found
+    return found.unionByName(_runs(_halves(entries.join(large, "key"), width), width // 2, length))
+
+
+def _mixed(contexts: DataFrame, key: str) -> DataFrame:
+    """``(key, members)`` of the collections of different contexts of which one stands once."""
+    counted = contexts.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest"))
+    return counted.where("members > 1 and fewest = 1").drop("fewest")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -322,29 +378,38 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = _LENGTH,
     """``(text_key, starts)``: of every text with repeated strings, runs ``(first, last)`` of where they start.
 
     ``text_key`` is the first half of the SHA-256 of the text's UTF-8; null counts as empty. Runs may overlap and
-    come in no order.
+    come in no order, and may reach beyond a text's ends.
     """
     core = core or length // 4
     width = length - core
     texts = _keyed(docs, text)
-    anchors = texts.mapInArrow(_anchored(length, core), "text_key binary, at long, core long, extent binary")
-    anchors = materialise(anchors, "anchors")
-    twice = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(_NOT_ONE).select("core")
+    cut = texts.mapInArrow(_anchored(length, core), "text_key binary, at long, last long, core long, extent binary")
+    cut = materialise(cut, "anchors")
+    anchors = cut.where("core is not null").drop("last")
+    # What is joined to many rows is written first: the join then has two plain exchanges, and a hot core is split.
+    twice = materialise(anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(_TWICE).select("core"), "twice")
     shared = materialise(anchors.join(twice, "core"), "shared")
     place = F.min(F.struct("text_key", "at")).alias("place")
     extents = materialise(shared.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("n"), place), "extents")
-    whole = extents.where(_NOT_ONE).selectExpr("core", "extent", "0L as first", f"{width}L as last")
     # Contexts of one core of which some stand once: their bytes have to be compared.
-    apart = extents.groupBy("core").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest")).where("members > 1 and fewest = 1")
-    named = F.struct(F.col("place.at").alias("at"), "core", "extent", "n")
-    wanted = extents.join(apart.select("core"), "core").groupBy("place.text_key").agg(F.collect_list(named).alias("wanted"))
-    schema = "core long, extent binary, n long, key binary, left binary, right binary"
-    cut = texts.mapInArrow(_first_copies, texts.schema).join(wanted, "text_key").mapInArrow(_contexts(length, core), schema)
-    runs = _runs(cut.distinct().withColumn("shift", F.lit(0)), width, length)
-    for part in runs:
-        whole = whole.unionByName(part)
-    starts = shared.join(whole, ["core", "extent"]).selectExpr("text_key", f"at + first - {width} as first", f"at + last - {width} as last")
-    return starts.distinct().groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    apart = materialise(_mixed(extents, "core"), "apart")
+    named = F.struct(F.col("place.at").alias("at"), "core", "extent", "n", "members")
+    wanted = extents.join(apart, "core").groupBy("place.text_key").agg(F.collect_list(named).alias("wanted"))
+    schema = "core long, extent binary, n long, members long, key binary, left binary, right binary"
+    compared = _texts_of(texts, materialise(wanted, "wanted")).mapInArrow(_contexts(length, core), schema)
+    compared = materialise(compared, "contexts")
+    runs = extents.where(_TWICE).selectExpr("core", "extent", "0L as first", f"{width}L as last")
+    runs = runs.unionByName(_built_runs(compared.where(F.col("members") <= _MOST), width, length))
+    large = compared.where(F.col("members") > _MOST).drop("members")
+    if not large.isEmpty():
+        runs = runs.unionByName(_runs(_halves(large.distinct().withColumn("shift", F.lit(0)), width), width // 2, length))
+    # One row per context, with at most a run for every second window.
+    runs = runs.groupBy("core", "extent").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = shared.join(materialise(runs, "runs"), ["core", "extent"]).select("text_key", "at", "runs").distinct()
+    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["first"] - width).alias("first"), (F.col("at") + r["last"] - width).alias("last")))
+    own = cut.where("core is null").select("text_key", F.array(F.struct(F.col("at").alias("first"), "last")).alias("starts"))
+    starts = found.select("text_key", moved.alias("starts")).unionByName(own.distinct())
+    return starts.groupBy("text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def merged_spans(starts: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
@@ -392,8 +457,7 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole. An empty table gives none; other columns are not read, whatever their names.
     """
     starts = materialise(repeated_starts(docs, text, length), "starts")
-    texts = _keyed(docs, text).mapInArrow(_first_copies, "text_key binary, text string")
-    cut = texts.join(starts, "text_key").mapInArrow(_cuts(length), "text_key binary, n_removed long, n_spans long, kept_sha256 string")
+    cut = _texts_of(_keyed(docs, text), starts).mapInArrow(_cuts(length), "text_key binary, n_removed long, n_spans long, kept_sha256 string")
     cut = materialise(cut.distinct(), "cuts")
     shown = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     whole = F.sha2(shown, 256)

@@ -97,7 +97,7 @@ def test_anchors_are_those_of_every_window(monkeypatch):
             wanted = set()
             for i in range(size - 19):
                 hashes = finder._hashes(np.frombuffer(text[i : i + 20], dtype=np.uint8))
-                wanted |= {i + int(j) for j in np.flatnonzero(hashes == hashes.min())}
+                wanted.add(i + int(np.argmin(hashes >> np.uint64(17))))
             assert finder.starts(text).tolist() == sorted(wanted)
 
 
