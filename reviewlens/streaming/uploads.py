@@ -12,9 +12,14 @@ from pyspark.sql.types import StructType
 from reviewlens.functions.rules import is_mismatch, is_upload_spam
 from reviewlens.operators.scoring import Scorer
 from reviewlens.plans.reports import upload_tables
-from reviewlens.sources.ingest import conform_upload
+from reviewlens.sources.ingest import conform_upload, csv_rows
+from reviewlens.sources.records import FILE, OFFSET, file_lines
+from reviewlens.sources.scratch import materialise
 from reviewlens.sources.tables import publish_dataset, serve_dataset
 
+# Rows read by batch, of the runs that this process has begun.
+_ROWS: dict[tuple[str, str], dict[int, int]] = {}
+
 
 def score_upload(rows: DataFrame, scorer: Scorer, today: Column | None = None, order: str | None = None) -> DataFrame:
     """Conformed upload rows with label, score and both flags."""
@@ -43,11 +48,12 @@ def stream_uploads(
 ) -> StreamingQuery:
     """Score every CSV that appears in ``folder``; process what is there and stop.
 
-    Results go to ``out/scored/batch=N`` and one row per batch to ``out/job_status``: processing, then completed
-    or failed. A batch that is tried again overwrites its own folder. Ids are the batch and a number in it, so equal rows differ.
+    Results go to ``out/scored/batch=N``, records that cannot be read to ``out/quarantine/batch=N`` with file, byte offset
+    and reason, and one row per batch to ``out/job_status``: processing, then completed or failed. A batch that is
+    tried again overwrites its own folders. Ids are the batch, the file and the place in it, so equal rows differ.
     """
-    reader = spark.readStream.schema(schema).option("header", True).option("multiLine", True)
-    source = reader.option("escape", '"').csv(folder)
+    source = file_lines(spark, folder, stream=True)
+    counts: dict[int, int] = {}
 
     def report(number: int, status: str, current: int | None, total: int | None) -> None:
         row = {"batch_id": F.lit(number), "status": F.lit(status), "current": F.lit(current), "total": F.lit(total)}
@@ -59,22 +65,25 @@ def stream_uploads(
         target = f"{out}/scored/batch={number}"
         report(number, "processing", 0, None)
         try:
-            placed = batch.withColumn("_line", F.monotonically_increasing_id())
-            scored = score_upload(placed, scorer, today)
-            numbered = scored.withColumn("review_id", F.concat_ws("-", F.lit(number), F.col("_line"))).drop("_line")
-            numbered.write.mode("overwrite").parquet(target)
-            rows = spark.read.parquet(target).count()
+            read = csv_rows(batch, schema)
+            read.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            scored = score_upload(read.rows, scorer, today)
+            place = F.concat_ws("-", F.lit(number), F.xxhash64(FILE), F.col(OFFSET))
+            scored.withColumn("review_id", place).drop(FILE, OFFSET).write.mode("overwrite").parquet(target)
+            rows = counts[number] = spark.read.parquet(target).count()
         except Exception:
             report(number, "failed", 0, None)
             raise
         report(number, "completed", rows, rows)
 
-    return (
+    query = (
         source.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    _ROWS[str(query.id), str(query.runId)] = counts
+    return query
 
 
 def job_status(spark: SparkSession, out: str) -> DataFrame:
@@ -92,7 +101,8 @@ def progress(query: StreamingQuery) -> dict[str, object]:
     """State of a running upload: processing, completed or failed, and rows so far."""
     error = query.exception()
     state = "failed" if error else ("processing" if query.isActive else "completed")
-    rows = sum(p["numInputRows"] for p in query.recentProgress)
+    counts = _ROWS.get((str(query.id), str(query.runId)))
+    rows = sum(p["numInputRows"] for p in query.recentProgress) if counts is None else sum(counts.values())
     return {"job_id": str(query.id), "status": state, "current": rows, "error": str(error) if error else None}
 
 
@@ -103,7 +113,7 @@ def apply_dataset(
     dataset_id: str,
     tables: Callable[[DataFrame], dict[str, DataFrame]] = upload_tables,
 ) -> None:
-    """Publish the tables of a scored upload and point the session's views at them."""
-    made = tables(scored)
+    """Publish the tables of a scored upload, scored once, and point the session's views at them."""
+    made = tables(materialise(scored, "scored"))
     publish_dataset(made, root, dataset_id)
     serve_dataset(spark, root, dataset_id, list(made))

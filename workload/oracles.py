@@ -593,6 +593,16 @@ oracle(
     "upload_scored",
     "select sentiment_label, is_mismatch, is_spam, count(*) reviews from upload_scored group by all",
 )
+oracle(
+    "upload_quarantine",
+    "",
+    """
+    select cast(conv_id * 1000 + turn as varchar) line,
+           case k when 0 then "text" when 3 then chr(65533) || ' ' || "text" when 4 then "text" || chr(13) || chr(10) end "text",
+           case when k >= 3 then role end role,
+           case k when 1 then 'too many fields' when 2 then 'not UTF-8' end reason
+    from (select *, (conv_id + turn) % 5 k from conversations)""",
+)
 oracle(
     "dataset_swap",
     "upload_scored",

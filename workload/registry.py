@@ -444,6 +444,19 @@ def upload_stream(spark, sf_dir):
     return scored.groupBy("sentiment_label", "is_mismatch", "is_spam").agg(F.count(F.lit(1)).alias("reviews"))
 
 
+@query
+def upload_quarantine(spark, sf_dir):
+    """An upload without header line in which every fifth record is short, long, not UTF-8 or holds a legal U+FFFD."""
+    path = scratch_path(spark, "upload-quarantine")
+    views.raw_upload(spark, sf_dir).write.option("lineSep", "\n").text(path)
+    read = ingest.read_csv(spark, path, columns=["line", "text", "role"])
+    bad = read.quarantine.select(
+        F.substring_index("_corrupt_record", ",", 1).alias("line"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("role"), "_reason"
+    )
+    rows = read.rows.withColumn("_reason", F.lit(None).cast("string")).unionByName(bad)
+    return rows.select("line", "text", "role", F.col("_reason").alias("reason"))
+
+
 @query
 def dataset_swap(spark, sf_dir):
     """Key figures of an applied upload, from the tables then served."""

@@ -84,6 +84,18 @@ def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as CSV records, some of them damaged; the bytes may not be UTF-8."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        """cast(concat(cast(conv_id * 1000 + turn as string), ',', case (conv_id + turn) % 5
+               when 0 then '"' || replace(text, '"', '""') || '"'
+               when 1 then '"' || replace(text, '"', '""') || '",' || role || ',more'
+               when 2 then concat(cast('"' as binary), X'FF', cast('",' || role as binary))
+               when 3 then '"\uFFFD ' || replace(text, '"', '""') || '",' || role
+               else '"' || replace(text, '"', '""') || '\r\n",' || role end) as string) as value"""
+    )
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Release days: per event type the day of its largest value."""
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
