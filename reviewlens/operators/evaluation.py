@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.rules import known
+from reviewlens.sources.scratch import materialise
 
 _SCORE_RANGES = 256
 
@@ -80,6 +81,8 @@ def roc_auc(
         .groupBy(*keys, F.col(score).alias("_score"))
         .agg(F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg"))
     )
+    # Read for the cuts, the totals and the ranks.
+    points = materialise(points, "points")
     shares = F.array(*[F.lit(i / _SCORE_RANGES) for i in range(1, _SCORE_RANGES)])
     cuts = points.groupBy(*keys).agg(F.percentile_approx("_score", shares, F.lit(10_000)).alias("_cuts"))
     if keys:  # one row per model

@@ -31,11 +31,11 @@ def distinct_texts(
     return first_per_key(labelled.dropna(subset=[text, sentiment]), [text], order)
 
 
-def _own_class(sentiment: Column) -> Column:
+def own_class(sentiment: Column) -> Column:
     return F.when(sentiment == POSITIVE, F.lit("positive")).when(sentiment == NEGATIVE, F.lit("negative"))
 
 
-def _roll_up(per_sentiment: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+def roll_up(per_sentiment: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add up rows of ``own`` classes, once under their own class and once under "top"."""
     classes = F.explode(F.array_compact(F.array(F.col("own"), F.lit("top"))))
     return (
@@ -45,7 +45,7 @@ def _roll_up(per_sentiment: DataFrame, keys: Sequence[str], sums: Sequence[str])
     )
 
 
-def _top_per_class(df: DataFrame, score: Column, n: int) -> DataFrame:
+def top_per_class(df: DataFrame, score: Column, n: int) -> DataFrame:
     order = Window.partitionBy("class").orderBy(score.desc(), F.asc("word"))
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -58,10 +58,10 @@ def word_frequencies(
 ) -> DataFrame:
     """``(class, word, count)`` for every word."""
     words = texts.select(
-        _own_class(F.col(sentiment)).alias("own"),
+        own_class(F.col(sentiment)).alias("own"),
         F.explode(keyword_tokens(F.col(text), stop_words)).alias("word"),
     )
-    return _roll_up(words.groupBy("own", "word").agg(F.count(F.lit(1)).alias("count")), ["word"], ["count"])
+    return roll_up(words.groupBy("own", "word").agg(F.count(F.lit(1)).alias("count")), ["word"], ["count"])
 
 
 def keyword_frequencies(
@@ -74,7 +74,7 @@ def keyword_frequencies(
 ) -> DataFrame:
     """``(class, rank, word, count)``: the ``n`` most frequent words of each class."""
     counts = word_frequencies(texts, text, sentiment, stop_words).where(F.col("count") >= min_count)
-    return _top_per_class(counts, F.col("count"), n).select("class", "rank", "word", "count")
+    return top_per_class(counts, F.col("count"), n).select("class", "rank", "word", "count")
 
 
 def keyword_tfidf(
@@ -94,13 +94,13 @@ def keyword_tfidf(
     # Read three times below: for the class sizes, for the vocabulary and for the weights.
     texts = materialise(
         texts.where(~is_blank(F.col(text))).select(
-            key, _own_class(F.col(sentiment)).alias("own"), F.col(text).alias("_text")
+            key, own_class(F.col(sentiment)).alias("own"), F.col(text).alias("_text")
         ),
         "texts",
     )
     counts = term_counts(texts, key, without_words(word_tokens(F.col("_text")), stop_words), "own")
-    sizes = _roll_up(texts.groupBy("own").agg(F.count(F.lit(1)).alias("documents")), [], ["documents"])
-    totals = _roll_up(term_totals(counts, "own"), ["term"], ["total", "df"])
+    sizes = roll_up(texts.groupBy("own").agg(F.count(F.lit(1)).alias("documents")), [], ["documents"])
+    totals = roll_up(term_totals(counts, "own"), ["term"], ["total", "df"])
     # At most 3 * max_features rows: written once, then broadcast.
     idf = materialise(
         vocabulary_per_group(totals, max_features, "class")
@@ -144,7 +144,7 @@ def keyword_tfidf(
         .withColumn("mean", F.col("weight") / F.col("documents"))
     )
     # Twelve digits keep float noise out of the order of equal means.
-    return _top_per_class(means, F.bround("mean", 12), n).select(
+    return top_per_class(means, F.bround("mean", 12), n).select(
         "class", "rank", "word", F.bround("mean", 6).alias("tfidf")
     )
 

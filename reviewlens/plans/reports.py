@@ -44,6 +44,26 @@ def spam_report(reviews: DataFrame, key: str = "review_id") -> DataFrame:
     return flag_spam(reviews, near_duplicate_ids(reviews, key))
 
 
+def scored_reviews(reviews: DataFrame, scorer: Scorer) -> DataFrame:
+    """All reviews with text, cleaned and scored: written once, it serves every report below."""
+    present = reviews.dropna(subset=["review_text"])
+    return scorer(with_computed(present, "clean_text", clean_for_model(F.col("review_text"))))
+
+
+def _long_enough(scored: DataFrame) -> DataFrame:
+    return scored.where(squeezed_word_count(F.col("clean_text")) >= MIN_WORDS)
+
+
+def mismatches_of(scored: DataFrame) -> DataFrame:
+    """The rows of :func:`scored_reviews` with four words and stars, and their mismatch flags."""
+    return flag_mismatches(_long_enough(scored).dropna(subset=["star_rating"]))
+
+
+def aspects_of_scored(scored: DataFrame) -> DataFrame:
+    """The rows of :func:`scored_reviews` with four words, one per aspect."""
+    return aspect_rows(_long_enough(scored))
+
+
 def mismatch_report(reviews: DataFrame, scorer: Scorer) -> DataFrame:
     """All scorable reviews with label, score and mismatch flag."""
     scored = scorer(scorable_reviews(reviews, ("review_text", "star_rating")))

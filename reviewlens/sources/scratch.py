@@ -1,10 +1,13 @@
 """Intermediate tables in the shared checkpoint folder."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.session import scratch_path
 
 _WRITTEN: dict[str, list[str]] = {}
+_KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -15,11 +18,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remembered(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once per application and name, until :func:`release`."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
+        _KEPT[key] = materialise(build(), "kept")
+    return _KEPT[key]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that this application has written so far; results that still read them must be done.
 
     Returns how many were deleted.
     """
+    for key in [key for key in _KEPT if key[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for name in paths:

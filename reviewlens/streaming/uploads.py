@@ -12,10 +12,10 @@ from pyspark.sql.types import StructType
 from reviewlens.functions.rules import is_mismatch, is_upload_spam
 from reviewlens.operators.scoring import Scorer
 from reviewlens.plans.reports import upload_tables
+from reviewlens.sources.datasets import dataset, publish, serve
 from reviewlens.sources.ingest import conform_upload, csv_rows
 from reviewlens.sources.records import FILE, OFFSET, file_lines
 from reviewlens.sources.scratch import materialise
-from reviewlens.sources.tables import publish_dataset, serve_dataset
 
 # Rows read by batch, of the runs that this process has begun.
 _ROWS: dict[tuple[str, str], dict[int, int]] = {}
@@ -113,7 +113,6 @@ def apply_dataset(
     dataset_id: str,
     tables: Callable[[DataFrame], dict[str, DataFrame]] = upload_tables,
 ) -> None:
-    """Publish the tables of a scored upload, scored once, and point the session's views at them."""
-    made = tables(materialise(scored, "scored"))
-    publish_dataset(made, root, dataset_id)
-    serve_dataset(spark, root, dataset_id, list(made))
+    """Publish the tables of an upload, scored once, as one version and point the session's views at it."""
+    version = publish(tables(materialise(scored, "scored")), root, dataset_id)
+    serve(dataset(spark, root, version))

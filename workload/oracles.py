@@ -391,6 +391,7 @@ oracle("app_names", "reviews", "select distinct app_name from reviews where app_
 # --- aspects -----------------------------------------------------------------------
 
 oracle("aspect_rows", "aspects", "select * from aspects")
+oracle("aspect_tags", "aspects", "select review_id, aspect from aspects")
 oracle(
     "aspect_summary",
     "aspect_counts",
@@ -492,6 +493,19 @@ oracle(
     'select class, rank, word, cast(0 as double) tfidf, "count" from kw_freq where rank <= 50',
 )
 oracle("keywords_frequent", "kw_freq", 'select * from kw_freq where rank <= 30 and "count" >= 5')
+oracle("labelled_texts_fallback", "scored", f"select review_id, {clean_keywords('review_text')} clean_text, sentiment_label sentiment from scored")
+oracle(
+    "keywords_updated",
+    "worded lexicon_labels",
+    f"""
+    select * from (
+      select class, cast(row_number() over (partition by class order by count(*) desc, word) as int) rank, word, count(*) "count"
+      from (select class, unnest({keyword_tokens('review_text')}) word
+            from (select case when seq % 10 = 0 then 'renewed edition ' || review_text else review_text end review_text,
+                         unnest([case when (seq % 10 = 0) = (sentiment_label = 'Positive') then 'negative' else 'positive' end, 'top']) class
+                  from worded join lexicon_labels using (review_id)))
+      group by class, word) where rank <= 50""",
+)
 oracle(
     "upload_keywords",
     "worded lexicon_labels",
@@ -512,6 +526,11 @@ oracle(
     """select review_id, case when star_rating <= 2 then 'Negative' when star_rating >= 4 then 'Positive' end sentiment,
               cast(case when star_rating <= 2 then 0 when star_rating >= 4 then 1 end as double) as "label" from reviews""",
 )
+oracle(
+    "clean_reviews_table",
+    "cleaned",
+    "select review_id, app_name, review_text, star_rating, review_date, thumbs_up, clean_text from cleaned",
+)
 oracle("class_distribution", "training", 'select sentiment, count(*) "count" from training group by sentiment')
 # Test rows per label.
 PARTS |= {
@@ -561,6 +580,17 @@ oracle(
     """select round_even(sum(hits) / sum(support), 6) accuracy, round_even(avg(2 * hits / (predicted + support)), 6) macro_f1
        from class_sums where support + predicted > 0""",
 )
+oracle(
+    "metrics_table",
+    "judged class_sums",
+    """
+    select 'lexicon' model, accuracy, macro_f1, round_even((sum(case when pos then r end) - p * (p + 1) / 2) / (p * n), 6) roc_auc
+    from (select *, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 r, count_if(pos) over () p, count_if(not pos) over () n
+          from (select "label" = 'Positive' pos, p s from judged)),
+         (select round_even(sum(hits) / sum(support), 6) accuracy, round_even(avg(2 * hits / (predicted + support)), 6) macro_f1
+          from class_sums where support + predicted > 0)
+    group by accuracy, macro_f1, p, n""",
+)
 oracle(
     "roc_auc_exact",
     "scored",
@@ -582,6 +612,14 @@ oracle(
               cast(case when app_name >= 'src2' then 1 end as bigint) thumbs_up from reviews""",
 )
 oracle("upload_normalised", "upload", "select * from upload")
+oracle(
+    "upload_capped",
+    "",
+    """
+    select cast(row_number() over (order by conv_id * 1000 + turn) - 1 as varchar) review_id, coalesce("text", '') review_text,
+           cast(3 as double) star_rating, 'Custom Dataset' app_name, '2025-06-30' review_date
+    from conversations order by conv_id * 1000 + turn limit 200""",
+)
 oracle(
     "upload_scored",
     "upload_scored",
@@ -615,6 +653,15 @@ oracle(
                  cast(count_if(is_spam) as bigint) spam_count_raw, cast(count_if(is_mismatch) as bigint) mismatch_count
           from upload_scored)""",
 )
+oracle(
+    "dataset_versions",
+    "upload_scored",
+    """
+    select version, table_name, count(*) row_count
+    from (select unnest([1, 2, 3]) version, unnest([true, false, true]) every), (select unnest(['raw_reviews', 'mismatches', 'aspect_results']) table_name),
+         (select role from upload)
+    where every or role = 'user' group by version, table_name""",
+)
 oracle(
     "stream_trends",
     "",

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions import rules, text
-from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keywords, scoring
-from reviewlens.operators.columns import with_computed
-from reviewlens.operators.keys import seeded_sample, stratified_split
+from reviewlens.functions.lexicons import ASPECTS
+from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keyword_state, keywords, phrases, scoring
+from reviewlens.operators.keys import first_rows, seeded_sample, stratified_split
 from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
 from reviewlens.session import scratch_path
-from reviewlens.sources import ingest, tables
-from reviewlens.sources.scratch import materialise
+from reviewlens.sources import datasets, ingest, tables
+from reviewlens.sources.scratch import remembered
 from reviewlens.streaming import trends, uploads
 from workload import views
 
@@ -31,16 +31,16 @@ def query(fn: Query) -> Query:
 # --- shared inputs -----------------------------------------------------------------
 
 
-_FLAGS: dict[tuple[str, str], DataFrame] = {}
-
-
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flag table under all three rules, written once per application and read by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FLAGS:
-        report = reports.spam_report(views.reviews(spark, sf_dir))
-        _FLAGS[key] = materialise(report.select("review_id", "is_spam"), "flags")
-    return _FLAGS[key]
+    report = reports.spam_report(views.reviews(spark, sf_dir))
+    return remembered(spark, f"flags of {sf_dir}", lambda: report.select("review_id", "is_spam"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review cleaned and with the rule-based scorer's label, written once and read by every report."""
+    rows = reports.scored_reviews(views.worded_reviews(spark, sf_dir), scoring.lexicon_scorer("clean_text"))
+    return remembered(spark, f"scored reviews of {sf_dir}", lambda: rows.drop("sentiment_scores"))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,15 +51,13 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aspects of every scorable review, with the rule-based scorer's labels; four digits of confidence."""
-    rows = reports.aspect_report(views.worded_reviews(spark, sf_dir), scoring.lexicon_scorer("clean_text"))
+    rows = reports.aspects_of_scored(_scored(spark, sf_dir))
     return rows.withColumn("confidence", F.bround("confidence", 4))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every review with its cleaned text and the rule-based scorer's label."""
-    rows = with_computed(views.worded_reviews(spark, sf_dir), "clean_text", text.clean_for_model(F.col("review_text")))
-    scored = scoring.lexicon_scorer("clean_text")(rows)
-    return scored.select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
+    return _scored(spark, sf_dir).select("seq", "review_id", "clean_text", F.col("sentiment_label").alias("sentiment"))
 
 
 def _keyword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +140,7 @@ def mismatch_breakdown(spark, sf_dir):
 
 @query
 def mismatch_table(spark, sf_dir):
-    report = reports.mismatch_report(views.worded_reviews(spark, sf_dir), scoring.lexicon_scorer("clean_text"))
+    report = reports.mismatches_of(_scored(spark, sf_dir))
     return reports.mismatch_table(report).withColumn("sentiment_score", F.bround("sentiment_score", 4))
 
 
@@ -164,6 +162,14 @@ def aspect_rows(spark, sf_dir):
     return _aspect_rows(spark, sf_dir)
 
 
+@query
+def aspect_tags(spark, sf_dir):
+    """The same aspects, from a table of phrases."""
+    listed = spark.createDataFrame([(name, phrase) for name, own in ASPECTS.items() for phrase in own], "name string, phrase string")
+    texts = _aspect_rows(spark, sf_dir).select("review_id", "clean_text").distinct()
+    return phrases.tagged(texts, phrases.phrase_table(listed))
+
+
 @query
 def aspect_summary(spark, sf_dir):
     return aspects.aspect_summary(_aspect_rows(spark, sf_dir))
@@ -278,8 +284,9 @@ def keywords_true_counts(spark, sf_dir):
 
 @query
 def keywords_nested(spark, sf_dir):
-    lists = keywords.keyword_lists(keywords.keyword_frequencies(_keyword_texts(spark, sf_dir)))
-    return keywords.keyword_rows(lists)
+    path = scratch_path(spark, "keyword-lists")
+    tables.write_keyword_lists(keywords.keyword_lists(keywords.keyword_frequencies(_keyword_texts(spark, sf_dir))), path)
+    return keywords.keyword_rows(tables.read_keyword_lists(spark, path))
 
 
 @query
@@ -287,6 +294,26 @@ def keywords_frequent(spark, sf_dir):
     return keywords.keyword_frequencies(_keyword_texts(spark, sf_dir), n=30, min_count=5)
 
 
+@query
+def keywords_updated(spark, sf_dir):
+    """Three uploads, then one that replaces every tenth text; counts are changed, not taken anew."""
+    root = scratch_path(spark, "keyword-state")
+    rows = _scored(spark, sf_dir).select("seq", "review_id", "review_text", "sentiment_label")
+    for part in range(3):
+        keyword_state.update_keywords(spark, root, rows.where(F.col("seq") % 3 == part))
+    other = F.when(F.col("sentiment_label") == "Positive", "Negative").otherwise("Positive")
+    renewed = rows.where("seq % 10 = 0").withColumns({"review_text": F.concat(F.lit("renewed edition "), "review_text"), "sentiment_label": other})
+    keyword_state.update_keywords(spark, root, renewed)
+    keyword_state.merge_updates(spark, root)
+    return keyword_state.current_keywords(spark, root)
+
+
+@query
+def labelled_texts_fallback(spark, sf_dir):
+    """Keyword texts where only the mismatch table is there."""
+    return tables.labelled_texts(None, views.mismatches(spark, sf_dir), spark)
+
+
 @query
 def upload_keywords(spark, sf_dir):
     rows = scoring.lexicon_scorer()(views.worded_reviews(spark, sf_dir))
@@ -304,6 +331,13 @@ def weak_labels(spark, sf_dir):
     )
 
 
+@query
+def clean_reviews_table(spark, sf_dir):
+    root = scratch_path(spark, "clean-reviews")
+    tables.write_table(features.clean_reviews(views.reviews(spark, sf_dir)), root, "clean_reviews")
+    return tables.read_table(spark, root, "clean_reviews")
+
+
 def _training_rows(spark, sf_dir):
     cleaned = features.clean_reviews(views.reviews(spark, sf_dir))
     return baselines.training_rows(cleaned)
@@ -383,6 +417,17 @@ def roc_auc_exact(spark, sf_dir):
     return evaluation.roc_auc(rows).select(F.bround("roc_auc", 6).alias("roc_auc"))
 
 
+@query
+def metrics_table(spark, sf_dir):
+    """The rule-based scorer's row of the metrics table, as written and read."""
+    judged = _judged(spark, sf_dir).withColumn("model", F.lit("lexicon"))
+    figures = evaluation.accuracy_and_macro_f1(judged, by=["model"]).join(evaluation.roc_auc(judged, by=["model"]), "model")
+    root = scratch_path(spark, "metrics")
+    tables.write_table(figures, root, "metrics")
+    rounded = [F.bround(c, 6).alias(c) for c in ("accuracy", "macro_f1", "roc_auc")]
+    return tables.read_table(spark, root, "metrics").select("model", *rounded)
+
+
 @query
 def baseline_metrics(spark, sf_dir):
     cleaned = features.clean_reviews(views.reviews(spark, sf_dir))
@@ -415,6 +460,14 @@ def upload_normalised(spark, sf_dir):
     return rows.select("review_id", "review_text", "star_rating", "app_name", "review_date", "role")
 
 
+@query
+def upload_capped(spark, sf_dir):
+    """The first 200 rows of an upload without dates or ratings."""
+    rows = first_rows(views.upload(spark, sf_dir).select("line", "`Content [message text]`"), "line", 200)
+    made = ingest.conform_upload(rows, F.lit("2025-06-30").cast("date"), order="line")
+    return made.select("review_id", "review_text", "star_rating", "app_name", "review_date")
+
+
 @query
 def upload_scored(spark, sf_dir):
     rows = uploads.score_upload(
@@ -472,6 +525,30 @@ def dataset_swap(spark, sf_dir):
     )
 
 
+@query
+def dataset_versions(spark, sf_dir):
+    """Rows per table of three versions: all uploads, those of users, and the first again."""
+    scored = uploads.score_upload(
+        views.upload(spark, sf_dir), scoring.lexicon_scorer(), F.lit("2025-06-30").cast("date"), order="line"
+    )
+    root = scratch_path(spark, "versions")
+    everything = reports.upload_tables(scored.drop("sentiment_scores"))
+    first = datasets.publish(everything, root)
+    datasets.publish(reports.upload_tables(scored.where("role = 'user'").drop("sentiment_scores")), root)
+    seen = [datasets.dataset(spark, root, first), datasets.dataset(spark, root)]
+    datasets.rollback(spark, root, first)
+    seen.append(datasets.dataset(spark, root))
+    counts = [
+        found.read(name).agg(F.lit(found.version).cast("long").alias("version"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        for found in seen
+        for name in ("raw_reviews", "mismatches", "aspect_results")
+    ]
+    table = counts[0]
+    for more in counts[1:]:
+        table = table.unionByName(more)
+    return table
+
+
 @query
 def stream_trends(spark, sf_dir):
     root = scratch_path(spark, "trend-stream")
