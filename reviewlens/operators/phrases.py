@@ -61,7 +61,9 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, key: str = "review_id",
     starts = F.filter(placed, lambda s: may_start(s["first"]))
 
     def window(s: Column) -> Column:
-        return F.struct(s["pos"], s["first"], F.slice("_units", s["pos"], max(widest, 1)).alias("_window"))
+        # Element by element: a slice copies the whole text's units first.
+        last = F.least(s["pos"] + (max(widest, 1) - 1), F.size("_units"))
+        return F.struct(s["pos"], s["first"], F.transform(F.sequence(s["pos"], last), lambda i: F.element_at("_units", i)).alias("_window"))
 
     begun = with_computed(cut, "_starts", starts)
     windows = begun.select(key, F.inline(F.transform("_starts", window)))
