@@ -50,7 +50,8 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, key: str = "review_id",
     table = [0] * (_FILTER_BITS // 64)
     for slot in set_bits:
         table[slot // 64] |= 1 << slot % 64
-    longs = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in table])
+    # Shorter in one expression than in a thousand; the lowest long has no literal of its own.
+    longs = F.expr(f"array({', '.join(f'{x}L' if x < 1 << 63 else f'(-{(1 << 64) - 1 - x}L - 1L)' for x in table)})")
 
     def may_start(unit: Column) -> Column:
         slot = _slot(unit)
