@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from reviewlens.llm.names import unused
 from reviewlens.sources.scratch import materialise
@@ -92,39 +93,36 @@ def assign_shards(df: DataFrame, tree: HashTree, doc_id: str = "doc_id", text: s
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row per row of ``df``.
 
     ``size`` is UTF-8 bytes plus 16 (null text: 16, checksum of no bytes). ``slot`` numbers the rows of a
-    shard from 0 without gaps, in order of a hash part of the id, then id, checksum and size; equal rows
-    share their shard and get different slots. ``grown_shard`` is the shard with one more. The counts that
-    the numbering needs read ids only.
+    shard from 0 without gaps, in order of a part of it, then id, checksum and size; equal rows
+    share their shard and get different slots. The part is a hash of id, checksum and size, so rows of one id
+    are many parts; copies of one row are one part. ``grown_shard`` is the shard with one more.
     """
     key = F.col(doc_id)
-    part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(_PARTS)).cast("int").alias("part")
-    counts = df.select(shard_of(key, tree).alias("shard"), part).groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    size = (F.octet_length(body) + 16).cast("long").alias("size")
+    crc = F.crc32(F.encode(body, "UTF-8")).alias("text_crc32")
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("part")), F.lit(_PARTS)).cast("int")
+    placed = df.select(key.alias("doc_id"), size, crc, shard_of(key, tree).alias("shard"), shard_of(key, tree.grown()).alias("grown_shard"))
+    placed = materialise(placed.withColumn("part", part), "placed")
+    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
     offsets = materialise(offsets, "offsets")
-    body = F.coalesce(F.col(text), F.lit(""))
-    placed = df.select(
-        key.alias("doc_id"),
-        (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        shard_of(key, tree).alias("shard"),
-        part,
-        shard_of(key, tree.grown()).alias("grown_shard"),
-    )
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
     ranked = placed.withColumn("rank", F.row_number().over(inside)).join(offsets, ["shard", "part"])
     slot = (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot")
-    return ranked.select("doc_id", "size", "text_crc32", "law", "shard", slot, "grown_shard")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 
 
 def write_shards(df: DataFrame, tree: HashTree, path: str, key: str = "doc_id", shuffle: int | None = None) -> str:
     """Write whole rows as one Parquet folder per shard; returns the tree as JSON for the record.
 
-    Rows go to ``(shard, part)`` tasks, so a shard is never one task. Existing folders at ``path`` stay an error.
+    Rows go to ``(shard, part)`` tasks, the part being a hash of all their columns of plain types, so neither a shard nor
+    a key is one task. Existing folders at ``path`` stay an error.
     """
     shard = unused(df, "shard")
-    part = F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(_PARTS))
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, AtomicType)]
+    part = F.pmod(F.xxhash64(*plain, F.lit("part")), F.lit(_PARTS))
     dealt = df.withColumn(shard, shard_of(F.col(key), tree))
     dealt = dealt.repartition(shuffle, shard, part) if shuffle else dealt.repartition(shard, part)
     dealt.write.partitionBy(shard).parquet(path)
