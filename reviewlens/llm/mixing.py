@@ -1,8 +1,10 @@
 """Mixing sources to target weights by repetition rates.
 
 Words are totalled per source, targets follow from the weights, and every document is emitted
-``floor(rate)`` times plus one Bernoulli copy whose draw comes from a hash of its id. Of a few seeds, each
-source uses the one whose copies come nearest to its target; draws stay hashes, so reruns agree.
+``floor(rate)`` times plus one Bernoulli copy whose draw comes from a hash of its id and text, so that rows of one id
+draw apart. Of a few seeds, each source uses the one whose copies come nearest to its target; draws stay hashes, so
+reruns agree. Choosing among seeds moves the probability of a copy a little from the fraction, towards what the
+target needs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,13 @@ def document_sizes(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def _draw(doc_id: Column, seed: int) -> Column:
-    digest = F.sha2(F.coalesce(doc_id.cast("string"), F.lit("null")), 256)
+def _identity(doc_id: Column, text: Column) -> Column:
+    """Digest that the draws of a document come from."""
+    named = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.sha2(named, 256)
+
+
+def _draw(digest: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 8 * seed + 1, 8), 16, 10).cast("double") / 2.0**32
 
 
@@ -75,6 +82,7 @@ def repetitions(
         F.col(source).alias("source"),
         null_safe_key(F.col(source)).alias("key"),
         document_sizes(F.col(text)).alias("size"),
+        _identity(F.col(doc_id), F.col(text)).alias("digest"),
     )
     sizes = materialise(sizes, "sizes")
     totals = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
@@ -82,7 +90,7 @@ def repetitions(
     sources = materialise(source_targets(totals, weights, most).withColumn("rate", rate), "targets")
     # What each seed would take, as exact sums; partial aggregates keep a hot source off any one task.
     placed = sizes.join(sources.select("key", "rate"), "key")
-    taken = [F.sum(F.col("size") * _copies(F.col("rate"), _draw(F.col("doc_id"), i))) for i in range(_SEEDS)]
+    taken = [F.sum(F.col("size") * _copies(F.col("rate"), _draw(F.col("digest"), i))) for i in range(_SEEDS)]
     tried = materialise(placed.groupBy("key").agg(*[t.alias(f"taken_{i}") for i, t in enumerate(taken)]), "tried")
     chosen = sources.join(tried, "key")
     gaps = [F.struct(F.abs(F.col(f"taken_{i}") - F.col("target")).alias("gap"), F.lit(i).alias("seed")) for i in range(_SEEDS)]
@@ -90,8 +98,8 @@ def repetitions(
     return sizes, materialise(chosen.select("key", "source_size", "target", "rate", "seed"), "rates")
 
 
-def _chosen_copies(doc_id: Column) -> Column:
-    draws = F.array(*[_draw(doc_id, i) for i in range(_SEEDS)])
+def _chosen_copies(digest: Column) -> Column:
+    draws = F.array(*[_draw(digest, i) for i in range(_SEEDS)])
     return _copies(F.col("rate"), F.element_at(draws, (F.col("seed") + 1).cast("int")))
 
 
@@ -99,21 +107,25 @@ def mixture_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """``(doc_id, size, source_size, target, copies, taken)``, one row per row of ``df``.
 
     Null texts have size 0; null sources are one source, the last. A source without words has target 0 and
-    no copies. Equal ids draw alike; repeated rows are separate documents. Other columns are not read.
+    no copies. Repeated rows are separate documents, but rows equal in id and text draw alike. Other columns are not read.
     """
     sizes, sources = repetitions(df, doc_id, text, source, **options)
-    planned = sizes.join(sources, "key").withColumn("copies", _chosen_copies(F.col("doc_id")).cast("long"))
+    planned = sizes.join(sources, "key").withColumn("copies", _chosen_copies(F.col("digest")).cast("long"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return planned.select("doc_id", "size", "source_size", "target", "copies", taken)
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with all columns."""
+    """The rows of ``df``, each as often as the mix takes it, with all columns.
+
+    Nulls, repeated rows and empty tables as in :func:`mixture_plan`; columns may have any names.
+    """
     _, sources = repetitions(df, doc_id, text, source, **options)
     key, copy = unused(df, "mix_key"), unused(df, "mix_copy")
     rates = sources.select(F.col("key").alias(key), F.struct("rate", "seed").alias(copy))
     keyed = df.withColumn(key, null_safe_key(F.col(source))).join(rates, key)
-    draws = F.array(*[_draw(F.col(doc_id), i) for i in range(_SEEDS)])
+    digest = _identity(F.col(doc_id), F.col(text))
+    draws = F.array(*[_draw(digest, i) for i in range(_SEEDS)])
     copies = _copies(F.col(copy)["rate"], F.element_at(draws, (F.col(copy)["seed"] + 1).cast("int")))
     times = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
     return keyed.withColumn(copy, F.explode(times)).select(*[F.col(f"`{c}`") for c in df.columns])
@@ -121,7 +133,7 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixture_sql() -> str:
     """``mixture_plan`` over ``documents`` in SQL, without its ``copies``."""
-    draw = "('0x' || substr(sha256(coalesce(doc_id::varchar, 'null')), {}, 8))::bigint / 4294967296.0::double"
+    draw = "('0x' || substr(digest, {}, 8))::bigint / 4294967296.0::double"
     copies = "floor(rate) + case when {} < rate - floor(rate) then 1 else 0 end"
     tried = ", ".join(f"sum(size * ({copies.format(draw.format(8 * i + 1))})) as t{i}" for i in range(_SEEDS))
     gaps = ", ".join(f"struct_pack(gap := abs(t{i} - target), seed := {i})" for i in range(_SEEDS))
@@ -129,7 +141,8 @@ def mixture_sql() -> str:
     weight = " ".join(f"when {i} then {w}" for i, w in enumerate(WEIGHTS))
     return rf"""
         with sizes as (
-            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                sha256(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as digest from documents),
         totals as (select source, sum(size)::bigint as source_size from sizes group by source),
         weighted as (
             select *, {MOST_REPEATS} * source_size as cap,
