@@ -293,13 +293,15 @@ def _count(kind: str) -> Column:
 def pii_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``, one row per row of ``df``.
 
-    ``spans`` lists base spans by kind and start, then revealing terms as ``term-<kind>``; offsets are code
+    ``spans`` lists base spans by kind and start, then revealing terms as ``term-<kind>``, likewise; offsets are code
     points. A null text is empty and has none. Repeated rows stay; other columns are not read.
     """
     spans = all_spans(df, [F.col(doc_id).alias("doc_id")], text, **options)
     counts = [_count(kind).alias(f"n_{kind}") for kind in KINDS]
     listed = _listed(F.col("base"))
-    every = F.array_join(F.filter(F.array(listed, _listed(F.col("extra"))), lambda x: x != ""), ",")
+    kinds = F.array(*[F.lit(f"{TERM}-{kind}") for kind in KINDS])
+    placed = F.transform("extra", lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    every = F.array_join(F.filter(F.array(listed, _listed(F.array_sort(placed))), lambda x: x != ""), ",")
     return spans.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), every.alias("spans"))
 
 
@@ -336,7 +338,8 @@ def _replace_pass(table: bytes | None) -> Callable:
 def sanitised(df: DataFrame, text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
     """The rows of ``df`` with entities replaced by ``[KIND]`` and revealing terms by ``[TERM-KIND]``.
 
-    All columns stay; ``length``, if it is among them, holds the new number of code points. Null texts stay.
+    All columns stay, whatever their names; ``length``, if it is among them, holds the new number of code points. Null
+    texts and repeated rows stay; copies of a text are changed alike.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     found = materialise(entities(df, [_text_key(body).alias("text_key")], text).where(F.size("contexts") > 0), "entities")
