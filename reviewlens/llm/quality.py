@@ -1,9 +1,14 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Statistics of every text become a vector of logarithms. Per (language, source) the minimum covariance
-determinant is sought by concentration steps: from medians and quartile ranges, keep the share of rows with
-the smallest Mahalanobis distances, take their mean and covariance, repeat. Rows beyond a chi-squared quantile
-of the final estimate are rejected. Everything is native expressions.
+determinant is sought by concentration steps: from medians and quartile ranges, those of the group and those of its
+language as two starts, keep the share of rows with the smallest Mahalanobis distances, take their mean and
+covariance, repeat until determinants stop falling; of the starts the smaller determinant stays. Rows beyond a
+chi-squared quantile of the final estimate are rejected. Everything is native expressions.
+
+Every group has an estimate of its own, however small: its sums are taken together with ``prior`` rows' worth of its
+language's, and those with as many of all languages'. A group of thousands is hardly moved by that, one of three
+rows follows its language.
 
 A variance counts as estimated, but for one that falls short of what a single text resolves: the counting error
 of its words, or half a symbol, line or window at the usual length of the group. That much is put in its place.
@@ -38,7 +43,8 @@ _FLOORS = (
 _P = len(_FLOORS)
 # Distance bins per factor e.
 _BINS = 64
-_POOLED = "pooled"
+# Determinants that fall by less count as standing still.
+_STILL = 1e-3
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -141,8 +147,8 @@ def _distance(vector: list[str], p: str) -> str:
     return " + ".join(f"power({row}, 2)" for row in rows)
 
 
-def _estimate(moments: DataFrame, inflate: float) -> DataFrame:
-    """``(key, p)``: mean and inverse Cholesky factor from exact sums.
+def _estimate(moments: DataFrame, inflate: float, ids: list[str]) -> DataFrame:
+    """``(*ids, p, logdet)``: mean, inverse Cholesky factor and logarithm of the determinant from sums.
 
     The covariance is scaled by ``inflate``; variances below the squared floors are raised to them, and pivots
     to the resolution of the vectors. One projection per row of the factor, so that no expression repeats another.
@@ -158,7 +164,7 @@ def _estimate(moments: DataFrame, inflate: float) -> DataFrame:
         for i in range(_P)
         for j in range(i + 1)
     ]
-    fitted = moments.selectExpr("key", *means, *covs).selectExpr("*", *raised)
+    fitted = moments.selectExpr(*ids, *means, *covs).selectExpr("*", *raised)
     for i in range(_P):
         for j in range(i + 1):
             below = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
@@ -171,7 +177,8 @@ def _estimate(moments: DataFrame, inflate: float) -> DataFrame:
         fitted = fitted.selectExpr("*", *entries, f"1 / l{i}{i} as v{i}{i}")
     mean = ", ".join(f"m{i}" for i in range(_P))
     inverse = ", ".join(f"v{i}{j}" for i in range(_P) for j in range(i + 1))
-    return fitted.selectExpr("key", f"struct(array({mean}) as mean, array({inverse}) as inverse) as p")
+    logdet = " + ".join(f"2 * ln(l{i}{i})" for i in range(_P))
+    return fitted.selectExpr(*ids, f"struct(array({mean}) as mean, array({inverse}) as inverse) as p", f"{logdet} as logdet")
 
 
 def _sums() -> list[Column]:
@@ -197,45 +204,68 @@ def _start(vectors: DataFrame) -> DataFrame:
     return parts.selectExpr("key", f"struct(d.mid as mean, array({', '.join(inverse)}) as inverse) as p")
 
 
+_MOMENTS = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i in range(_P) for j in range(i + 1)]]
+
+
+def _shrunk(moments: DataFrame, prior: float) -> DataFrame:
+    """Adds to every group's sums ``prior`` rows' worth of its language's, which hold as many of all languages'."""
+    sums = [F.sum(c).cast("double").alias(c) for c in _MOMENTS]
+    own = moments.select("group", "lang", "start", *[F.col(c).cast("double").alias(c) for c in _MOMENTS])
+    langs = own.groupBy("start", "lang").agg(*sums)
+    every = langs.groupBy("start").agg(*[F.sum(c).alias(f"all_{c}") for c in _MOMENTS])
+    share = "{0} + {1} * {2} / {3}"
+    langs = langs.join(every, "start").selectExpr("start", "lang", *[share.format(c, f"{prior!r}D", f"all_{c}", "all_n") + f" as lang_{c}" for c in _MOMENTS])
+    return own.join(langs, ["start", "lang"]).selectExpr("group", "lang", "start", *[share.format(c, f"{prior!r}D", f"lang_{c}", "lang_n") + f" as {c}" for c in _MOMENTS])
+
+
+def _near(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Exact sums of the rows of every group, start and distance bin."""
+    distance = _distance([f"x{i}" for i in range(_P)], "p")
+    placed = vectors.join(estimate.select("group", "start", "p"), "group").selectExpr("*", f"floor(ln({distance} + 1e-6D) * {_BINS}) as bin")
+    return placed.groupBy("group", "lang", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_sums())
+
+
 def fit(
-    counted: DataFrame, lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 4, least: int = 100
+    counted: DataFrame, lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 12, prior: float = 30.0
 ) -> DataFrame:
-    """``(key, group, p)``: one robust estimate per (language, source) of a table with ``STATISTICS``.
+    """``(group, p, logdet)``: one robust estimate per (language, source) of a table with ``STATISTICS``.
 
-    Rows that fail the base rules take no part. Groups of fewer than ``least`` rows share one pooled
-    estimate; so do languages and sources that no row was fitted for. Nulls are values of their own.
-    ``share`` of the rows of a group, ties of the last distance bin included, carry each step.
+    Rows that fail the base rules take no part; a language and source with no other rows has no estimate. Nulls are
+    values of their own. ``share`` of the rows of a group, ties of the last distance bin included, carry each
+    step; ``steps`` bounds them should determinants keep falling. ``prior`` is the weight, in rows, of a group's
+    language, and of all languages in that.
     """
-    key = null_safe_key(F.col(lang), F.col(source)).alias("group")
-    vectors = counted.where(~base_failed()).select(key, *[F.expr(f"{x} as x{i}") for i, x in enumerate(_vector())])
-    vectors = materialise(vectors, "vectors")
-    sizes = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    groups = materialise(
-        sizes.select("group", F.when(F.col("n") >= least, F.col("group")).otherwise(_POOLED).alias("key")), "groups"
+    group, language = null_safe_key(F.col(lang), F.col(source)), null_safe_key(F.col(lang))
+    vectors = counted.where(~base_failed()).select(
+        group.alias("group"), language.alias("lang"), *[F.expr(f"{x} as x{i}") for i, x in enumerate(_vector())]
     )
-    vectors = materialise(vectors.join(groups, "group").drop("group"), "grouped")
-    estimate = materialise(_start(vectors), "estimate")
+    vectors = materialise(vectors, "vectors")
+    own = _start(vectors.drop("lang").withColumnRenamed("group", "key")).select(F.col("key").alias("group"), F.lit(0).alias("start"), "p")
+    langs = _start(vectors.drop("group").withColumnRenamed("lang", "key")).select(F.col("key").alias("lang"), F.lit(1).alias("start"), "p")
+    groups = vectors.select("group", "lang").distinct()
+    estimate = materialise(own.unionByName(groups.join(langs, "lang").drop("lang")), "estimate")
     # A share of a normal sample has too small a covariance; the factor undoes that.
-    cut = _chi2_quantile(share, _P)
-    kept_share = share / _chi2_cdf(cut, _P + 2)
-    inside = Window.partitionBy("key")
-    for step in range(steps + 1):
-        distance = _distance([f"x{i}" for i in range(_P)], "p")
-        placed = vectors.join(estimate, "key").selectExpr("*", f"floor(ln({distance} + 1e-6D) * {_BINS}) as bin")
-        binned = placed.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"), *_sums())
-        if step < steps:
-            before = F.coalesce(F.sum("n").over(inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            near = binned.withColumn("before", before).withColumn("all", F.sum("n").over(inside)).where(
-                F.col("before") < F.lit(share) * F.col("all")
-            )
-            inflate = kept_share
-        else:  # last, all rows inside the 97.5 % quantile: less is lost to the estimate
-            last = _chi2_quantile(0.975, _P)
-            near, inflate = binned.where(F.col("bin") <= math.log(last) * _BINS), 0.975 / _chi2_cdf(last, _P + 2)
-        names = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i in range(_P) for j in range(i + 1)]]
-        moments = near.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
-        estimate = materialise(_estimate(moments, inflate), "estimate")
-    return materialise(groups.join(estimate, "key"), "estimates")
+    inflate = share / _chi2_cdf(_chi2_quantile(share, _P), _P + 2)
+    inside = Window.partitionBy("group", "start")
+    before, ids = math.inf, ["group", "lang", "start"]
+    for _ in range(steps):
+        binned = _near(vectors, estimate)
+        earlier = F.coalesce(F.sum("n").over(inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = binned.withColumn("before", earlier).withColumn("all", F.sum("n").over(inside)).where(F.col("before") < F.lit(share) * F.col("all"))
+        moments = near.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+        estimate = materialise(_estimate(_shrunk(moments, prior), inflate, ids), "estimate")
+        now = estimate.agg(F.avg("logdet")).first()[0]
+        if now is None or now > before - _STILL:
+            break
+        before = now
+    chosen = estimate.groupBy("group").agg(F.min(F.struct("logdet", "start")).alias("best")).select("group", "best.start")
+    chosen = materialise(estimate.join(chosen, ["group", "start"]), "chosen")
+    # Last, all rows inside the 97.5 % quantile: less is lost to the estimate.
+    last = _chi2_quantile(0.975, _P)
+    inner = _near(vectors, chosen).where(F.col("bin") <= math.log(last) * _BINS)
+    moments = inner.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in _MOMENTS]).withColumn("start", F.lit(0))
+    final = _estimate(_shrunk(moments, prior), 0.975 / _chi2_cdf(last, _P + 2), ids)
+    return materialise(final.select("group", "p", "logdet"), "estimates")
 
 
 def judged(
