@@ -111,32 +111,6 @@ def test_quality_rejects_outliers_in_one_statistic_and_keeps_clean_rows(spark):
     assert len(gone) - len(planted) <= 3
 
 
-def test_quality_estimates_of_small_groups_are_their_own(spark):
-    """Groups of 16 rows against a search over all subsets of 12, and rows that only their own group can tell."""
-    from itertools import combinations
-
-    rng = np.random.default_rng(6)
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, source string"
-    rows = [(i, *(int(x) for x in np.exp(rng.normal([6, 7.6, 3, 2, 4], 0.25))), "en", "tiny") for i in range(13)]
-    rows += [(100 + i, *(int(x) for x in np.exp(rng.normal([6, 9.5, 7, 6, 5], 0.02))), "en", "tiny") for i in range(3)]
-    table = spark.createDataFrame(rows, schema)
-    got = quality.judged(table, quality.fit(table, prior=0.001), quantile=0.99999).collect()
-    assert {r.doc_id for r in got if not r.kept} == {100, 101, 102}
-    x = [[1 + r[1], (r[2] + 1) / (r[1] + 1), 1 + 1000 * r[3] / (r[2] + 1), 1 + 100 * r[4] / (r[1] + 1), 1 + 100 * r[5] / (r[1] + 1)] for r in rows]
-    x = np.round(256 * np.log(x)) / 256
-    least = min(combinations(range(16), 12), key=lambda s: np.linalg.det(np.cov(x[list(s)].T, bias=True)))
-    assert set(least) <= set(range(13))
-    # Short texts are usual in one source and odd in another, which has 40 rows.
-    usual = [(i, int(n), int(n * rng.normal(5, 0.1)), 0, 0, 0, "en", "long") for i, n in enumerate(np.exp(rng.normal(7, 0.1, 40)))]
-    short = [(1000 + i, int(n), int(n * rng.normal(5, 0.1)), 0, 0, 0, "en", "short") for i, n in enumerate(np.exp(rng.normal(4, 0.1, 400)))]
-    odd = [(5000, 60, 300, 0, 0, 0, "en", "long")]
-    table = spark.createDataFrame(usual + short + odd, schema)
-    estimates = quality.fit(table, prior=1.0)
-    assert estimates.count() == 2
-    gone = {r.doc_id for r in quality.judged(table, estimates).collect() if not r.kept}
-    assert 5000 in gone and len(gone) <= 3
-
-
 def test_quality_filter_keeps_columns_and_empty_tables(documents, nothing):
     kept = quality.quality_filtered(documents)
     assert kept.columns == documents.columns
