@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from reviewlens.session import scratch_path
 
 _WRITTEN: dict[str, list[str]] = {}
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+# Tables remembered by application and name.
+KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -21,9 +22,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def remembered(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that is written once per application and name, until :func:`release`."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _KEPT:
-        _KEPT[key] = materialise(build(), "kept")
-    return _KEPT[key]
+    if key not in KEPT:
+        KEPT[key] = materialise(build(), "kept")
+    return KEPT[key]
 
 
 def release(spark: SparkSession) -> int:
@@ -31,8 +32,8 @@ def release(spark: SparkSession) -> int:
 
     Returns how many were deleted.
     """
-    for key in [key for key in _KEPT if key[0] == spark.sparkContext.applicationId]:
-        del _KEPT[key]
+    for key in [key for key in KEPT if key[0] == spark.sparkContext.applicationId]:
+        del KEPT[key]
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for name in paths:

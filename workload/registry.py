@@ -15,7 +15,7 @@ from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
 from reviewlens.session import scratch_path
 from reviewlens.sources import datasets, ingest, tables
-from reviewlens.sources.scratch import remembered
+from reviewlens.sources.scratch import KEPT, remembered
 from reviewlens.streaming import trends, uploads
 from workload import views
 
@@ -31,6 +31,10 @@ def query(fn: Query) -> Query:
 # --- shared inputs -----------------------------------------------------------------
 
 
+# Flags and scored reviews, as long as they are kept.
+_FLAGS = KEPT
+
+
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flag table under all three rules, written once per application and read by every query."""
     report = reports.spam_report(views.reviews(spark, sf_dir))
