@@ -591,6 +591,77 @@ oracle(
           from class_sums where support + predicted > 0)
     group by accuracy, macro_f1, p, n""",
 )
+# Naive Bayes: term counts, vocabulary, unit vectors, sums per class, joint scores of the test part.
+
+
+def _bayes_parts(name: str, rows: str, most: int) -> None:
+    steps = {
+        "rows": rows,
+        "tf": f"""select review_id, sentiment, word, count(*) tf from
+                  (select review_id, sentiment, unnest({word_tokens('"text"')}) word from {name}_rows) group by all""",
+        "idf": f"""select word, ln((1 + (select count(*) from {name}_rows)) / (1 + count(*))) + 1 idf
+                   from {name}_tf group by word order by sum(tf) desc, word limit {most}""",
+        "x": f"""select review_id, sentiment, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by review_id)) x
+                 from {name}_tf join {name}_idf using (word)""",
+        "class": f"select sentiment, ln(count(*) / (select count(*) from {name}_rows)) prior from {name}_rows group by sentiment",
+        "mass": f"""select word, idf, sentiment, prior, 1 + coalesce(sum(x), 0) m
+                    from {name}_idf cross join {name}_class left join {name}_x using (word, sentiment) group by all""",
+        "model": f"select word, idf, sentiment, prior, ln(m / sum(m) over (partition by sentiment)) logp from {name}_mass",
+    }
+    before = []
+    for step, body in steps.items():
+        PARTS[f"{name}_{step}"] = body
+        USES[f"{name}_{step}"] = " ".join(before) or "training quotas cleaned"
+        before.append(f"{name}_{step}")
+
+
+PARTS["bayes_split"] = """
+    select review_id, sentiment, clean_text "text", row_number() over (partition by sentiment order by md5('42:' || review_id), review_id) <= t is_test
+    from training join cleaned using (review_id) join quotas using (sentiment)"""
+USES["bayes_split"] = "training quotas cleaned"
+_bayes_parts("bayes_all", 'select review_id, sentiment, clean_text "text" from training join cleaned using (review_id)', 2000)
+_bayes_parts("bayes", "select * from bayes_split where not is_test", 50_000)
+USES["bayes_rows"] = "bayes_split"
+PARTS |= {
+    "bayes_test": f"""select review_id, word, count(*) tf from
+                      (select review_id, unnest({word_tokens('"text"')}) word from bayes_split where is_test) group by all""",
+    "bayes_units": """select review_id, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by review_id)) x
+                      from bayes_test join bayes_idf using (word)""",
+    "bayes_scores": """select review_id, s.sentiment label, c.sentiment class, any_value(prior) + coalesce(sum(x * logp), 0) score
+                       from bayes_split s cross join bayes_class c left join bayes_units u using (review_id)
+                            left join (select word, sentiment, logp from bayes_model) m on m.word = u.word and m.sentiment = c.sentiment
+                       where is_test group by all""",
+    "bayes_judged": """select review_id, label, case when n >= p then 'Negative' else 'Positive' end prediction, round_even(1 / (1 + exp(n - p)), 9) score
+                       from (select review_id, label, max(case class when 'Negative' then score end) n,
+                                    max(case class when 'Positive' then score end) p from bayes_scores group by all)""",
+    "bayes_hits": """select class, count_if(label = class and prediction = class) hits, count_if(prediction = class) predicted, count_if(label = class) support
+                     from bayes_judged, (values ('Negative'), ('Positive')) c(class) group by class""",
+}
+USES |= {
+    "bayes_test": "bayes_split",
+    "bayes_units": "bayes_test bayes_idf",
+    "bayes_scores": "bayes_split bayes_class bayes_units bayes_model",
+    "bayes_judged": "bayes_scores",
+    "bayes_hits": "bayes_judged",
+}
+oracle(
+    "naive_bayes_model",
+    "bayes_all_model",
+    """select word term, sentiment class, round_even(idf, 6) idf, round_even(logp, 6) log_probability, round_even(prior, 6) log_prior
+       from bayes_all_model""",
+)
+oracle("naive_bayes_predictions", "bayes_judged", "select review_id, label, prediction, round_even(score, 6) score from bayes_judged")
+oracle(
+    "naive_bayes_metrics",
+    "bayes_judged bayes_hits",
+    """
+    select 'Naive_Bayes' model, accuracy, macro_f1, round_even((sum(case when pos then r end) - p * (p + 1) / 2) / (p * n), 6) roc_auc
+    from (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 r, count_if(pos) over () p, count_if(not pos) over () n
+          from (select label = 'Positive' pos, score from bayes_judged)),
+         (select round_even(sum(hits) / sum(support), 6) accuracy, round_even(avg(2 * hits / (predicted + support)), 6) macro_f1
+          from bayes_hits where support + predicted > 0)
+    group by accuracy, macro_f1, p, n""",
+)
 oracle(
     "roc_auc_exact",
     "scored",

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import rules, text
 from reviewlens.functions.lexicons import ASPECTS
-from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keyword_state, keywords, phrases, scoring
+from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keyword_state, keywords, naive_bayes, phrases, scoring
 from reviewlens.operators.keys import first_rows, seeded_sample, stratified_split
 from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
 from reviewlens.session import scratch_path
 from reviewlens.sources import datasets, ingest, tables
-from reviewlens.sources.scratch import KEPT, remembered
+from reviewlens.sources.scratch import KEPT, materialise, remembered
 from reviewlens.streaming import trends, uploads
 from workload import views
 
@@ -438,6 +438,46 @@ def baseline_metrics(spark, sf_dir):
     return baselines.compare_baselines(cleaned)
 
 
+def _stored_training_rows(spark, sf_dir):
+    return remembered(spark, f"training rows of {sf_dir}", lambda: _training_rows(spark, sf_dir))
+
+
+def _bayes(spark, sf_dir):
+    """Reviews of the test part with label, prediction and probability of the positive label."""
+    split = materialise(stratified_split(_stored_training_rows(spark, sf_dir), "sentiment", "review_id"), "split")
+    model = materialise(naive_bayes.fit_naive_bayes(split.where("not is_test"), label="sentiment"), "bayes-model")
+    test = split.where("is_test")
+    guessed = naive_bayes.predict_naive_bayes(model, test)
+    positive = F.get(F.filter("probabilities", lambda p: p["class"] == "Positive"), F.lit(0))["probability"]
+    # Equal texts get equal scores whatever the order of their sums.
+    return guessed.join(test.select("review_id", F.col("sentiment").alias("label")), "review_id").select(
+        "review_id",
+        "label",
+        "prediction",
+        (F.col("label") == "Positive").alias("is_positive"),
+        F.bround(positive, 9).alias("score"),
+    )
+
+
+@query
+def naive_bayes_model(spark, sf_dir):
+    """The fitted table itself: IDF and log-probability per term and class."""
+    model = naive_bayes.fit_naive_bayes(_stored_training_rows(spark, sf_dir), label="sentiment", max_features=2000)
+    return model.select("term", "class", *[F.bround(c, 6).alias(c) for c in ("idf", "log_probability", "log_prior")])
+
+
+@query
+def naive_bayes_predictions(spark, sf_dir):
+    return _bayes(spark, sf_dir).select("review_id", "label", "prediction", F.bround("score", 6).alias("score"))
+
+
+@query
+def naive_bayes_metrics(spark, sf_dir):
+    judged = materialise(_bayes(spark, sf_dir).withColumn("model", F.lit("Naive_Bayes")), "judged")
+    figures = evaluation.accuracy_and_macro_f1(judged, by=["model"]).join(evaluation.roc_auc(judged, by=["model"]), "model")
+    return figures.select("model", *[F.bround(c, 6).alias(c) for c in ("accuracy", "macro_f1", "roc_auc")])
+
+
 # --- ingest ------------------------------------------------------------------------
 
 
