@@ -1,11 +1,12 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of tokens; by default it gets the share of each window that it has of all tokens.
-Served in quanta, a queue's quantum ``c`` of ``C`` is due at virtual time ``(c + 1/2) / C``. Serving quanta in
-that order is deficit round-robin: after any window a queue has had its share up to about one quantum, and
-what it missed or took too much carries over, across windows and across partitions, because the due times
-do not depend on where a task begins. A quantum's place in the whole stream is a sum over queues, so tasks
-work out where their documents go without talking to each other.
+Every source is a queue of tokens with a weight: its target proportion, or by default the share that it has of all
+tokens. Served in quanta, quantum ``c`` of a queue of weight ``W`` is due at virtual time ``(c + 1/2) / W``. Serving
+quanta in that order is deficit round-robin: after any window a queue that still has tokens has had its share up to
+about one quantum, and what it missed or took too much carries over, across windows and across partitions, because
+the due times do not depend on where a task begins. Once a queue is empty the others share by their weights. A
+quantum's place in the whole stream is a sum over queues, so tasks work out where their documents go without
+talking to each other.
 
 Windows are cut from that stream every 2048 tokens, so only the end of the stream is short; it is cut into
 sequences of powers of two and nothing is padded.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ END_ID = 1
 # Queues at most; sources beyond the largest share the last queue. Bounds what tasks are told about queues.
 MOST_QUEUES = 1024
 _KEPT_CHUNKS = 250_000
+# Units that target proportions are rounded to.
+_PARTS = 1 << 24
 
 
 def default_tokenizer() -> str:
@@ -134,23 +137,24 @@ def _tokenised(path: str) -> Callable:
 
 
 class Stream:
-    """Places of quanta in the stream that serves queues of the given token totals."""
+    """Places of quanta in the stream that serves queues of the given token totals, by weights or by their quanta."""
 
-    def __init__(self, totals: list[int], quantum: int = QUANTUM, window: int = WINDOW) -> None:
+    def __init__(self, totals: list[int], quantum: int = QUANTUM, window: int = WINDOW, weights: list[int] | None = None) -> None:
         self.quantum, self.window = quantum, window
         self._n = np.array(totals, dtype=np.int64)
         self._c = -(-self._n // quantum)
+        self._w = self._c if weights is None else np.array(weights, dtype=np.int64)
         self.all = int(self._n.sum())
         self._full = self.all // window * window
         # Products stay exact: Python's integers where 64 bits do not hold them.
-        big = len(totals) and int(self._c.max()) ** 2 >= 1 << 60
+        big = len(totals) and int(self._c.max()) * int(self._w.max()) >= 1 << 60
         self._wide = object if big else np.int64
 
     def places(self, queue: int, quanta: np.ndarray) -> np.ndarray:
         """Tokens of all queues that are served before each of the queue's quanta."""
-        due = (2 * quanta.astype(self._wide) + 1)[:, None] * self._c.astype(self._wide)[None, :]
-        own = int(self._c[queue])
-        # Of another queue, quanta with (2k + 1) / C' < (2c + 1) / C come first; on a tie, the earlier queue's.
+        due = (2 * quanta.astype(self._wide) + 1)[:, None] * self._w.astype(self._wide)[None, :]
+        own = int(self._w[queue])
+        # Of another queue, quanta with (2k + 1) / W' < (2c + 1) / W come first; on a tie, the earlier queue's.
         early = (due - own) // (2 * own) + 1
         tied = (due - own) % (2 * own) == 0
         early = early - (tied & (np.arange(len(self._c)) >= queue)[None, :])
@@ -191,9 +195,24 @@ class Stream:
             yield tuple(open_)
 
 
-def _packed(totals: list[int], quantum: int, window: int, with_ids: bool) -> Callable:
+def _weights(totals: list[int], targets: list[float | None]) -> list[int]:
+    """Whole weights of queues, some with a target; the others share what the targets leave, by their sizes.
+
+    Nothing weighs less than one part of ``_PARTS``, so that no queue waits for ever.
+    """
+    left = max(0.0, 1.0 - sum(t for t in targets if t is not None))
+    rest = sum(n for n, t in zip(totals, targets, strict=True) if t is None)
+    shares = [left * n / rest if t is None else t for n, t in zip(totals, targets, strict=True)]
+    return [max(1, round(share * _PARTS)) for share in shares]
+
+
+def _key_of(source: str | None) -> str:
+    """The queue's name for a source, as ``null_safe_key`` makes it."""
+    return "-" if source is None else "=" + source.replace("\x01", "\x01\x01")
+
+
+def _packed(stream: Stream, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Stream(totals, quantum, window)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield _pieces(batch.slice(at, 512), stream, with_ids)
@@ -230,6 +249,7 @@ def packed(
     quantum: int = QUANTUM,
     window: int = WINDOW,
     with_ids: bool = False,
+    targets: Mapping[str | None, float] | None = None,
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``, one row per piece.
 
@@ -237,19 +257,30 @@ def packed(
     still has its end id. A null source is a queue of its own. Sequences hold ``window`` tokens, the last
     few powers of two. Other columns are not read. ``tokenizer`` is the path of a ``tokenizers`` file that
     every machine has.
+
+    ``targets`` are proportions of every window by source, above 0 and 1 at most in sum; None stands for the null
+    source. Sources without one share the rest by their sizes. Every document is packed, so windows hold their
+    proportions as long as all queues last; then the remaining ones share. Targets of absent sources are ignored.
     """
+    targets = dict(targets or {})
+    if targets and (min(targets.values()) <= 0 or sum(targets.values()) > 1 + 1e-9 or len(targets) >= MOST_QUEUES):
+        raise ValueError(f"targets are above 0, at most 1 in sum and fewer than {MOST_QUEUES}")
+    named = {_key_of(source): share for source, share in targets.items()}
     narrow = df.select(F.col(doc_id).alias("doc_id"), null_safe_key(F.col(source)).alias("source"), F.col(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, source string, part int, start bigint, n bigint, ids binary, width int"
     coded = materialise(narrow.mapInArrow(_tokenised(tokenizer or default_tokenizer()), schema), "tokens")
     counts = materialise(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "counts")
     sources = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = sources.orderBy(F.desc("n"), "source").limit(MOST_QUEUES - 1).collect()
+    first = F.col("source").isin(list(named))
+    largest = sources.orderBy(first.desc(), F.desc("n"), "source").limit(MOST_QUEUES - 1).collect()
     names = sorted(row.source for row in largest)
     # At most ``MOST_QUEUES`` names and totals: the queues by name, and the shared one.
     known = {row.source: row.n for row in largest}
     shared = (sources.agg(F.sum("n")).first()[0] or 0) - sum(known.values())
     totals = [known[name] for name in names] + ([shared] if shared else [])
+    shares = [named.get(name) for name in names] + ([None] if shared else [])
+    stream = Stream(totals, quantum, window, _weights(totals, shares) if named else None)
     queue: Column = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("source")) - 1
     queue = F.when(queue < 0, len(names)).otherwise(queue).cast("int")
     placed = counts.withColumn("queue", queue)
@@ -259,4 +290,4 @@ def packed(
     joined = coded.join(offsets, ["source", "part"])
     joined = joined.select("doc_id", "queue", (F.col("before") + F.col("start")).alias("begin"), "ids", "width")
     out = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return joined.mapInArrow(_packed(totals, quantum, window, with_ids), out + (", ids array<int>" if with_ids else ""))
+    return joined.mapInArrow(_packed(stream, with_ids), out + (", ids array<int>" if with_ids else ""))

@@ -184,6 +184,35 @@ def test_windows_hold_the_mixture(spark):
             assert abs(due[s] - had[s]) <= 3 * 32
 
 
+def test_windows_hold_target_proportions_until_a_queue_is_empty(spark):
+    rows = [(i, "one two three four five six seven eight " * 20, ["a", "b", None, "d"][i % 4]) for i in range(400)]
+    targets = {"a": 0.5, "b": 0.2, None: 0.1, "absent": 0.01}
+    got, coded = check_packing(spark, rows, window=512, quantum=32, targets=targets)
+    source = {i: s for i, _, s in rows}
+    shares = {"a": 0.5, "b": 0.2, None: 0.1, "d": 0.2}
+    left = Counter()
+    for _, t, s in rows:
+        left[s] += len(coded[t])
+    windows, due, had, seen = {}, Counter(), Counter(), 0
+    for r in got:
+        windows.setdefault(r.sequence_id, Counter())[source[r.doc_id]] += r.length
+    for number in sorted(windows):
+        had.update(windows[number])
+        if any(had[s] >= left[s] for s in shares):
+            break
+        seen += 1
+        for s, share in shares.items():
+            due[s] += 512 * share
+            assert abs(due[s] - had[s]) <= 3 * 32, (number, s)
+    assert seen > 40 and had["a"] >= left["a"] and windows[number + 5]["a"] == 0
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.0}, {"a": 0.7, "b": 0.4}, {"a": -0.1}])
+def test_targets_have_to_be_proportions(spark, targets):
+    with pytest.raises(ValueError):
+        packing.packed(spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string"), targets=targets)
+
+
 def test_queues_beyond_the_most_share_one(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_QUEUES", 3)
     check_packing(spark, [(i, "some words here " * (1 + i % 7), f"s{i % 9}") for i in range(90)], window=64, quantum=8)
