@@ -43,38 +43,43 @@ def squeeze(c: Column) -> Column:
 
 
 def name_emoji(c: Column, names: Mapping[str, str]) -> Column:
-    """Replace each listed emoji by its name with a space on both sides."""
+    """Replace each listed emoji by its name with a space on both sides; ``operators.emoji`` takes a table of names."""
     ordered = sorted(names.items(), key=lambda pair: -len(pair[0]))
     pairs = F.array(*[F.struct(F.lit(k).alias("mark"), F.lit(f" {v} ").alias("name")) for k, v in ordered])
     named = F.reduce(pairs, c, lambda text, p: F.replace(text, p["mark"], p["name"]))
     return F.when(c.rlike(r"[^\x00-\x7F]"), named).otherwise(c)
 
 
-def _lowered_without_markup(c: Column) -> Column:
+def lowered_without_markup(c: Column) -> Column:
     return strip_tags(strip_urls(F.lower(F.coalesce(c, F.lit("")))))
 
 
+def without_marks(c: Column) -> Column:
+    """Drop what is neither word, white space nor ``! ? . , '``."""
+    return squeeze(F.regexp_replace(c, f"[^{WORD}{SPACE}!?.,']", " "))
+
+
 def clean_for_model(c: Column, emoji_names: Mapping[str, str] | None = None) -> Column:
     """Cleaning ahead of a sentiment model; keeps ``! ? . , '``.
 
     Without ``emoji_names`` every run outside ASCII becomes one space.
     """
-    text = _lowered_without_markup(c)
+    text = lowered_without_markup(c)
     if emoji_names:
         text = name_emoji(text, emoji_names)
     else:
         text = F.regexp_replace(text, r"[^\x00-\x7F]+", " ")
-    return squeeze(F.regexp_replace(text, f"[^{WORD}{SPACE}!?.,']", " "))
+    return without_marks(text)
 
 
 def clean_for_keywords(c: Column) -> Column:
     """Cleaning ahead of keyword counts; keeps letters, digits and ``_`` of any script."""
-    return squeeze(F.regexp_replace(_lowered_without_markup(c), f"[^{WORD}{SPACE}]", " "))
+    return squeeze(F.regexp_replace(lowered_without_markup(c), f"[^{WORD}{SPACE}]", " "))
 
 
 def clean_for_features(c: Column) -> Column:
     """Cleaning ahead of bag-of-words features; ASCII only, punctuation deleted, no trimming."""
-    ascii_only = F.regexp_replace(_lowered_without_markup(c), r"[^\x00-\x7F]", "")
+    ascii_only = F.regexp_replace(lowered_without_markup(c), r"[^\x00-\x7F]", "")
     return F.regexp_replace(ascii_only, r"\p{Punct}", "")
 
 

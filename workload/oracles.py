@@ -407,6 +407,30 @@ oracle(
 # --- text --------------------------------------------------------------------------
 
 oracle("clean_model", "texts", f"select id, {clean_model('text')} clean_text from texts")
+# Marks and names once more, longest first.
+MARKS = {
+    "\U0001f469\u200d\U0001f4bb": "woman_technologist",
+    "1\ufe0f\u20e3": "keycap_1",
+    "\u2764\ufe0f": "red_heart",
+    "\U0001f44d\U0001f3fd": "thumbs_up_medium_skin_tone",
+    "\u2764": "heart",
+    "\U0001f44d": "thumbs_up",
+    "\U0001f469": "woman",
+    "\U0001f4bb": "laptop",
+}
+_PREFIXES = ["\u2764", "\u2764\ufe0f", "\U0001f469", "\U0001f4bb", "\U0001f469\u200d\U0001f4bb", "\U0001f44d", "\U0001f44d\U0001f3fd",
+             "1\ufe0f\u20e3", "\U0001f4bb\u200d\u2764", "\U0001f44d\U0001f3fd\U0001f44d", "\u2603", ""]
+_LISTED = ", ".join(f"'{m}'" for m in _PREFIXES)
+_NAMED = _no_markup("marked")
+for _mark, _name in MARKS.items():
+    _NAMED = f"replace({_NAMED}, '{_mark}', ' {_name} ')"
+_NAMED = f"regexp_replace({_NAMED}, '[^{WORD}{SPACE}!?.,'']', ' ', 'g')"
+oracle(
+    "clean_model_emoji",
+    "texts",
+    f"""select id, {_squeeze(_NAMED)} clean_text
+        from (select id, [{_LISTED}][1 + length(text) % 12] || [{_LISTED}][1 + (length(text) + 5) % 12] || ' ' || text marked from texts)""",
+)
 oracle("clean_keywords", "texts", f"select id, {clean_keywords('text')} clean_text from texts")
 oracle("clean_features", "texts", f"select id, {clean_features('text')} clean_text from texts")
 oracle(

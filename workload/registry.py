@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import rules, text
 from reviewlens.functions.lexicons import ASPECTS
-from reviewlens.operators import anomalies, aspects, baselines, evaluation, features, keyword_state, keywords, naive_bayes, phrases, scoring
+from reviewlens.operators import anomalies, aspects, baselines, emoji, evaluation, features, keyword_state, keywords, naive_bayes, phrases, scoring
 from reviewlens.operators.keys import first_rows, seeded_sample, stratified_split
 from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
@@ -192,6 +192,12 @@ def clean_model(spark, sf_dir):
     return views.texts(spark, sf_dir).select("id", text.clean_for_model(F.col("text")).alias("clean_text"))
 
 
+@query
+def clean_model_emoji(spark, sf_dir):
+    rows = views.texts_with_emoji(spark, sf_dir)
+    return emoji.clean_for_model_with_names(rows, views.emoji_names(spark), "id", "text").select("id", "clean_text")
+
+
 @query
 def clean_keywords(spark, sf_dir):
     return views.texts(spark, sf_dir).select("id", text.clean_for_keywords(F.col("text")).alias("clean_text"))

@@ -71,6 +71,31 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Marks with their names; some are parts of others.
+EMOJI = {
+    "\u2764": "heart",
+    "\u2764\ufe0f": "red_heart",
+    "\U0001f469": "woman",
+    "\U0001f4bb": "laptop",
+    "\U0001f469\u200d\U0001f4bb": "woman_technologist",
+    "\U0001f44d": "thumbs_up",
+    "\U0001f44d\U0001f3fd": "thumbs_up_medium_skin_tone",
+    "1\ufe0f\u20e3": "keycap_1",
+}
+
+
+def texts_with_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts; most start with two marks, alone, joined or with a skin tone."""
+    marks = [*EMOJI, "\U0001f4bb\u200d\u2764", "\U0001f44d\U0001f3fd\U0001f44d", "\u2603", ""]
+    listed = ", ".join(f"'{m}'" for m in marks)
+    pick = f"element_at(array({listed}), cast(1 + (length(text) + {{}}) % {len(marks)} as int))"
+    return texts(spark, sf_dir).selectExpr("id", f"{pick.format(0)} || {pick.format(5)} || ' ' || text as text")
+
+
+def emoji_names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(EMOJI.items()), "mark string, name string")
+
+
 def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as a user's file might present them: odd headers, bad numbers, mixed dates."""
     return table(spark, sf_dir, "conversations").selectExpr(
