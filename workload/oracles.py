@@ -321,6 +321,7 @@ oracle(
 )
 oracle("trends_daily", "daily", "select * from daily order by date")
 oracle("reviews_enriched", "enriched", "select * from enriched")
+oracle("reviews_bucketed", "enriched", "select * from enriched")
 oracle(
     "reviews_first_row",
     "reviews scored spam",
@@ -344,6 +345,14 @@ oracle(
     """select * exclude (seq), (select count(*) from items where star_rating >= 2) total
        from items where star_rating >= 2 order by seq limit 20 offset 40""",
 )
+oracle(
+    "reviews_pages_stored",
+    "items",
+    """(select * exclude (seq), 'all' "filter", (select count(*) from items) total from items order by seq limit 20 offset 140)
+       union all
+       (select * exclude (seq), 'mismatch' "filter", (select count(*) from items where is_mismatch) total
+        from items where is_mismatch order by seq limit 5 offset 5)""",
+)
 oracle(
     "reviews_after",
     "items",

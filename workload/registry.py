@@ -14,7 +14,7 @@ from reviewlens.operators.keys import first_rows, seeded_sample, stratified_spli
 from reviewlens.operators.similarity import near_duplicate_ids
 from reviewlens.plans import dashboard, insights, reports
 from reviewlens.session import scratch_path
-from reviewlens.sources import datasets, ingest, tables
+from reviewlens.sources import bucketed, datasets, ingest, paged, tables
 from reviewlens.sources.scratch import KEPT, materialise, remembered
 from reviewlens.streaming import trends, uploads
 from workload import views
@@ -106,6 +106,19 @@ def reviews_first_row(spark, sf_dir):
     return dashboard.enriched_reviews(views.reviews(spark, sf_dir), mismatches, flags, keep_opinions=False, order="at")
 
 
+@query
+def reviews_bucketed(spark, sf_dir):
+    """The review view over three tables in buckets of the review id: joins and first rows without a shuffle."""
+    root = scratch_path(spark, "bucketed")
+    found = {
+        "raw_reviews": views.reviews(spark, sf_dir),
+        "mismatches": views.mismatches(spark, sf_dir).select("review_id", "sentiment_label", "sentiment_score", "is_mismatch"),
+        "flagged_reviews": _flags(spark, sf_dir),
+    }
+    bucketed.write_bucketed(found, root, 32)
+    return dashboard.enriched_reviews(*[bucketed.read_bucketed(spark, root, name) for name in found])
+
+
 @query
 def reviews_filtered(spark, sf_dir):
     matching = dashboard.matching_reviews(
@@ -120,6 +133,20 @@ def reviews_page(spark, sf_dir):
     return dashboard.reviews_page(matching, "seq", page=3, page_size=20)
 
 
+@query
+def reviews_pages_stored(spark, sf_dir):
+    """A deep page of all reviews and the second one of mismatches, each from the ranges that hold it."""
+    root = scratch_path(spark, "paged")
+    paged.write_paged(_enriched(spark, sf_dir), "seq", root, {"mismatch": F.col("is_mismatch")}, ranges=16)
+    deep = paged.read_page(spark, root, "seq", 8)
+    second = paged.read_page(spark, root, "seq", 2, 5, "mismatch", F.col("is_mismatch"))
+    items = [
+        dashboard.review_items(rows).withColumns({"filter": F.lit(name), "total": F.lit(paged.matching_rows(spark, root, name)).cast("long")})
+        for rows, name in ((deep, paged.ALL), (second, "mismatch"))
+    ]
+    return items[0].unionByName(items[1])
+
+
 @query
 def reviews_after(spark, sf_dir):
     matching = dashboard.matching_reviews(_enriched(spark, sf_dir), **dashboard.PRESETS["negative"])
