@@ -11,11 +11,11 @@ _WRITTEN: dict[str, list[str]] = {}
 KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table and read it back: later steps restart from it when executors are lost."""
     path = scratch_path(df.sparkSession, name)
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -35,8 +35,12 @@ def release(spark: SparkSession) -> int:
     for key in [key for key in KEPT if key[0] == spark.sparkContext.applicationId]:
         del KEPT[key]
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for name in paths:
-        path = hadoop.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        delete_folder(spark, path)
     return len(paths)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if there is one, in whatever file system its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -15,9 +15,11 @@ from reviewlens.plans.reports import upload_tables
 from reviewlens.sources.datasets import dataset, publish, serve
 from reviewlens.sources.ingest import conform_upload, csv_rows
 from reviewlens.sources.records import FILE, OFFSET, file_lines
-from reviewlens.sources.scratch import materialise
+from reviewlens.sources.scratch import delete_folder, materialise
 
-# Rows read by batch, of the runs that this process has begun.
+_STATUS = "batch_id bigint, status string, current bigint, total bigint, quarantined bigint, at timestamp"
+
+# Rows scored by batch, of the runs that this process has begun.
 _ROWS: dict[tuple[str, str], dict[int, int]] = {}
 
 
@@ -45,36 +47,53 @@ def stream_uploads(
     scorer: Scorer,
     checkpoint: str,
     today: Column | None = None,
+    slices: int = 8,
 ) -> StreamingQuery:
     """Score every CSV that appears in ``folder``; process what is there and stop.
 
     Results go to ``out/scored/batch=N``, records that cannot be read to ``out/quarantine/batch=N`` with file, byte offset
-    and reason, and one row per batch to ``out/job_status``: processing, then completed or failed. A batch that is
-    tried again overwrites its own folders. Ids are the batch, the file and the place in it, so equal rows differ.
+    and reason. A batch is read and written once, which observes how many rows it has, then scored in ``slices`` by hash of
+    the place of a record; ``out/job_status`` gets a row when a batch begins, is read, after every slice and at its end
+    (processing, then completed or failed), see :func:`job_status`. A batch that is tried again replaces its own folders.
+    Ids are the batch, the file and the place in it, so equal rows differ.
     """
     source = file_lines(spark, folder, stream=True)
     counts: dict[int, int] = {}
 
-    def report(number: int, status: str, current: int | None, total: int | None) -> None:
-        row = {"batch_id": F.lit(number), "status": F.lit(status), "current": F.lit(current), "total": F.lit(total)}
-        kinds = {"batch_id": "bigint", "status": "string", "current": "bigint", "total": "bigint"}
-        made = spark.range(1).select(*[value.cast(kinds[name]).alias(name) for name, value in row.items()])
-        made.write.mode("overwrite").parquet(f"{out}/job_status/batch={number}")
+    def report(number: int, status: str, current: int, total: int | None, quarantined: int | None = None) -> None:
+        row = {"batch_id": number, "status": status, "current": current, "total": total, "quarantined": quarantined}
+        kinds = dict(field.split(" ") for field in _STATUS.split(", "))
+        made = spark.range(1).select(*[F.lit(value).cast(kinds[name]).alias(name) for name, value in row.items()])
+        # Rows are only added, so that a reader never finds the table half replaced.
+        made.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{out}/job_status")
 
     def handle(batch: DataFrame, number: int) -> None:
         target = f"{out}/scored/batch={number}"
+        counts[number] = 0
         report(number, "processing", 0, None)
         try:
             read = csv_rows(batch, schema)
-            read.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-            scored = score_upload(read.rows, scorer, today)
+            all_rows, bad_rows = Observation("rows"), Observation("quarantine")
+            bad = read.quarantine.observe(bad_rows, F.count(F.lit(1)).alias("n"))
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            placed = read.rows.observe(all_rows, F.count(F.lit(1)).alias("n"))
+            placed = placed.withColumn("_slice", F.pmod(F.xxhash64(FILE, OFFSET), F.lit(slices)).cast("int"))
+            parsed = materialise(placed, "parsed", "_slice")
+            total, quarantined = all_rows.get.get("n", 0), bad_rows.get.get("n", 0)
+            report(number, "processing", 0, total, quarantined)
+            delete_folder(spark, target)
             place = F.concat_ws("-", F.lit(number), F.xxhash64(FILE), F.col(OFFSET))
-            scored.withColumn("review_id", place).drop(FILE, OFFSET).write.mode("overwrite").parquet(target)
-            rows = counts[number] = spark.read.parquet(target).count()
+            for part in range(slices):
+                done = Observation("scored")
+                scored = score_upload(parsed.where(F.col("_slice") == part).drop("_slice"), scorer, today)
+                scored = scored.withColumn("review_id", place).drop(FILE, OFFSET).observe(done, F.count(F.lit(1)).alias("n"))
+                scored.write.parquet(f"{target}/slice={part}")
+                counts[number] += done.get.get("n", 0)
+                report(number, "processing", counts[number], total, quarantined)
         except Exception:
-            report(number, "failed", 0, None)
+            report(number, "failed", counts[number], None)
             raise
-        report(number, "completed", rows, rows)
+        report(number, "completed", counts[number], total, quarantined)
 
     query = (
         source.writeStream.foreachBatch(handle)
@@ -87,14 +106,15 @@ def stream_uploads(
 
 
 def job_status(spark: SparkSession, out: str) -> DataFrame:
-    """``(batch_id, status, current, total, percent)`` of the batches begun; ``total`` is null until a batch is done."""
-    return spark.read.parquet(f"{out}/job_status").select(
-        "batch_id",
-        "status",
-        "current",
-        "total",
-        F.floor(F.try_divide(F.col("current") * 100, F.col("total"))).alias("percent"),
-    )
+    """``(batch_id, status, current, total, percent, quarantined)``: the last report of each batch begun.
+
+    ``total`` and ``quarantined`` are null until a batch is read, and once it has failed.
+    """
+    reports = spark.read.schema(_STATUS).parquet(f"{out}/job_status")
+    values = ("status", "current", "total", "quarantined")
+    last = reports.groupBy("batch_id").agg(F.max_by(F.struct(*values), "at").alias("last"))
+    percent = F.floor(F.try_divide(F.col("last.current") * 100, F.col("last.total"))).alias("percent")
+    return last.select("batch_id", "last.status", "last.current", "last.total", percent, "last.quarantined")
 
 
 def progress(query: StreamingQuery) -> dict[str, object]:
