@@ -1,7 +1,8 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens with a weight: its target proportion, or by default the share that it has of all
-tokens. Served in quanta, quantum ``c`` of a queue of weight ``W`` is due at virtual time ``(c + 1/2) / W``. Serving
+tokens. Served in quanta, a quantum of a queue of weight ``W`` is due at virtual time ``p / W`` with ``p`` the middle of its
+tokens; the first quantum is cut short by a part of its own per queue, so that queues of one size are not in step. Serving
 quanta in that order is deficit round-robin: after any window a queue that still has tokens has had its share up to
 about one quantum, and what it missed or took too much carries over, across windows and across partitions, because
 the due times do not depend on where a task begins. Once a queue is empty the others share by their weights. A
@@ -11,8 +12,13 @@ talking to each other.
 Windows are cut from that stream every 2048 tokens, so only the end of the stream is short; it is cut into
 sequences of powers of two and nothing is padded.
 
-Texts are tokenised once. Token ids stay in the partition that made them; what is shuffled are counts per
-(source, partition).
+Tasks are told the totals of at most ``MOST_QUEUES`` queues. Smaller sources share the last of them, which is itself a
+stream of quanta in the order of their due times: there every quantum is a row, ranked in Spark by ranges and running
+sums, however many sources there are. So a source of any size has had its share up to about two quanta; one that stands
+against thousands of others also carries what their roundings leave, a few quanta more.
+
+Texts are tokenised once. Token ids stay in the partition that made them, except those of the smaller sources, which are
+joined with the places of their quanta; else what is shuffled are counts per (source, partition).
 """
 
 from __future__ import annotations
@@ -33,9 +39,11 @@ from reviewlens.sources.scratch import materialise
 WINDOW = 2048
 QUANTUM = 256
 END_ID = 1
-# Queues at most; sources beyond the largest share the last queue. Bounds what tasks are told about queues.
+# Queues at most; sources beyond the largest share the last queue by due times. Bounds what tasks are told.
 MOST_QUEUES = 1024
 _KEPT_CHUNKS = 250_000
+# Its multiples fill the unit interval evenly.
+_GOLDEN = (5**0.5 - 1) / 2
 # Units that target proportions are rounded to.
 _PARTS = 1 << 24
 
@@ -137,30 +145,56 @@ def _tokenised(path: str) -> Callable:
 
 
 class Stream:
-    """Places of quanta in the stream that serves queues of the given token totals, by weights or by their quanta."""
+    """Places of quanta in the stream that serves queues of the given token totals, by weights or by their totals.
+
+    Due times are numbers in double precision, worked out alike for every comparison, so all tasks see one order.
+    """
 
     def __init__(self, totals: list[int], quantum: int = QUANTUM, window: int = WINDOW, weights: list[int] | None = None) -> None:
         self.quantum, self.window = quantum, window
         self._n = np.array(totals, dtype=np.int64)
-        self._c = -(-self._n // quantum)
-        self._w = self._c if weights is None else np.array(weights, dtype=np.int64)
+        weights = np.array(totals if weights is None else weights, dtype=np.float64)
+        # Queues of like weights are told apart by phases that fill the quantum evenly.
+        rank = np.empty(len(totals))
+        rank[np.lexsort((np.arange(len(totals)), weights))] = np.arange(len(totals))
+        phase = rank * _GOLDEN % 1.0 * quantum
+        self._cut, self._phase = np.floor(phase).astype(np.int64), phase - 0.5
+        self._c = -(-(self._n + self._cut) // quantum)
+        self._step = 1.0 / np.maximum(weights, 1.0)
+        opening, closing = quantum - self._phase, self._n - (self._c - 1) * quantum + self._phase
+        alone = phase / np.maximum(quantum - self._n + 1, 1) * self._n
+        self._opens = np.where(self._c == 1, alone, opening**2 / (2 * quantum))
+        self._closes = np.where(self._c == 1, alone, self._n - closing**2 / (2 * quantum))
         self.all = int(self._n.sum())
         self._full = self.all // window * window
-        # Products stay exact: Python's integers where 64 bits do not hold them.
-        big = len(totals) and int(self._c.max()) * int(self._w.max()) >= 1 << 60
-        self._wide = object if big else np.int64
+
+    def _due(self, k: np.ndarray, queues: np.ndarray) -> np.ndarray:
+        """When quanta ``k`` of ``queues`` are due: at the middle of their tokens, divided by the weight.
+
+        Short quanta at the ends are due as much earlier or later as makes queues of all phases together have had, at
+        any time, what they should; a queue of one quantum is due anywhere.
+        """
+        middle = (k + 0.5) * self.quantum - self._phase[queues]
+        tokens = np.where(k >= self._c[queues] - 1, self._closes[queues], np.where(k == 0, self._opens[queues], middle))
+        return tokens * self._step[queues]
 
     def places(self, queue: int, quanta: np.ndarray) -> np.ndarray:
         """Tokens of all queues that are served before each of the queue's quanta."""
-        due = (2 * quanta.astype(self._wide) + 1)[:, None] * self._w.astype(self._wide)[None, :]
-        own = int(self._w[queue])
-        # Of another queue, quanta with (2k + 1) / W' < (2c + 1) / W come first; on a tie, the earlier queue's.
-        early = (due - own) // (2 * own) + 1
-        tied = (due - own) % (2 * own) == 0
-        early = early - (tied & (np.arange(len(self._c)) >= queue)[None, :])
-        early = np.clip(early, 0, self._c[None, :]).astype(np.int64)
-        early[:, queue] = quanta
-        return np.minimum(early * self.quantum, self._n[None, :]).sum(axis=1)
+        due = self._due(quanta[:, None], np.array([queue]))
+        first_on_tie = (np.arange(len(self._c)) < queue)[None, :]
+        everyone = np.arange(len(self._c))
+
+        def early(k: np.ndarray) -> np.ndarray:
+            theirs = self._due(k, everyone)
+            return (theirs < due) | ((theirs == due) & first_on_tie)
+
+        # How many quanta of the other queues come first: an estimate less one, then two steps of comparison.
+        count = np.maximum(np.ceil((due / self._step + self._phase) / self.quantum - 0.5) - 1, 0)
+        count += early(count)
+        count += early(count)
+        count = np.minimum(count, self._c).astype(np.int64)
+        count[:, queue] = quanta
+        return np.clip(count * self.quantum - self._cut, 0, self._n).sum(axis=1)
 
     def sequence(self, place: int) -> tuple[int, int, int]:
         """``(sequence, offset in it, tokens to its end)`` of a place in the stream."""
@@ -175,12 +209,13 @@ class Stream:
 
     def pieces(self, queue: int, begin: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """``(start, length, sequence, offset)`` for tokens ``begin`` and on of a queue."""
-        first, last = begin // self.quantum, (begin + length - 1) // self.quantum
+        cut = int(self._cut[queue])
+        first, last = (begin + cut) // self.quantum, (begin + cut + length - 1) // self.quantum
         at = self.places(queue, np.arange(first, last + 1, dtype=np.int64)).tolist()
         open_: list[int] | None = None
         for c, place in zip(range(first, last + 1), at, strict=True):
-            low, high = max(begin, c * self.quantum), min(begin + length, (c + 1) * self.quantum)
-            place += low - c * self.quantum
+            low, high = max(begin, c * self.quantum - cut), min(begin + length, (c + 1) * self.quantum - cut)
+            place += low - max(0, c * self.quantum - cut)
             while low < high:
                 sequence, offset, room = self.sequence(place)
                 take = min(room, high - low)
@@ -206,6 +241,61 @@ def _weights(totals: list[int], targets: list[float | None]) -> list[int]:
     return [max(1, round(share * _PARTS)) for share in shares]
 
 
+def _running(df: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``size`` over all rows before a row in the unique ``order``: by ranges, then their totals."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.withColumn("size", size).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    cut = materialise(cut, "ranges")
+    # One row per range.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("range").agg(F.sum("size").alias("size"))
+    base = totals.select("range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return ranked.join(F.broadcast(base), "range").select(*df.columns, (F.col("base") + F.col("inside")).alias(name))
+
+
+def _shared_places(sources: DataFrame, quantum: int) -> DataFrame:
+    """``(source, c, cut, place)``: tokens of all ``sources(source, n)`` due before quantum ``c`` of a source.
+
+    The first quantum of a source is ``cut`` tokens short. Equal due times go by source, then number.
+    """
+    ranked = _running(sources, ["n", "source"], F.lit(1).cast("long"), "rank")
+    phased = ranked.withColumn("phase", F.col("rank") * F.lit(_GOLDEN) % 1.0 * quantum).withColumn("cut", F.floor("phase").cast("long"))
+    # Blocks of quanta first: no array is longer than a block.
+    block = 1 << 16
+    low = F.explode(F.expr(f"sequence(0L, (n + cut - 1) div {quantum}, {block}L)"))
+    blocks = phased.select("source", "n", "cut", "phase", low.alias("low"))
+    each = blocks.withColumn("c", F.explode(F.expr(f"sequence(low, least(low + {block - 1}, (n + cut - 1) div {quantum}))")))
+    held = F.least(F.col("n"), (F.col("c") + 1) * quantum - F.col("cut")) - F.greatest(F.lit(0), F.col("c") * quantum - F.col("cut"))
+    opens, closes = F.col("c") == 0, F.col("c") == F.expr(f"(n + cut - 1) div {quantum}")
+    # As in ``Stream``.
+    opening = quantum + 0.5 - F.col("phase")
+    closing = F.col("n") - F.col("c") * quantum + F.col("phase") - 0.5
+    due = (
+        F.when(opens & closes, F.col("phase") / (quantum - F.col("n") + 1) * F.col("n"))
+        .when(closes, F.col("n") - closing * closing / (2.0 * quantum))
+        .when(opens, opening * opening / (2.0 * quantum))
+        .otherwise((F.col("c") + 0.5) * quantum - F.col("phase") + 0.5)
+    ) / F.col("n")
+    quanta = each.select("source", "c", "cut", due.alias("due"), held.alias("held"))
+    return _running(quanta, ["due", "source", "c"], F.col("held"), "place").select("source", "c", "cut", "place")
+
+
+def _by_quanta(documents: DataFrame, places: DataFrame, quantum: int) -> DataFrame:
+    """Documents of the shared queue, cut at the quanta of their sources; ``begin`` is then a place in that queue."""
+    cuts = places.where("c = 0").select("source", "cut")
+    phased = documents.join(cuts, "source")
+    each = phased.withColumn("c", F.explode(F.expr(f"sequence((begin + cut) div {quantum}, (begin + cut + n - 1) div {quantum})")))
+    opening = F.greatest(F.lit(0), F.col("c") * quantum - F.col("cut"))
+    low = F.greatest(F.col("begin"), opening)
+    high = F.least(F.col("begin") + F.col("n"), (F.col("c") + 1) * quantum - F.col("cut"))
+    each = each.withColumns({"into": low - opening, "first": low - F.col("begin"), "length": high - low})
+    ids = F.expr("substring(ids, cast(first * width + 1 as int), cast(length * width as int))")
+    placed = each.withColumn("ids", ids).join(places.drop("cut"), ["source", "c"])
+    return placed.withColumn("begin", F.col("place") + F.col("into"))
+
+
 def _key_of(source: str | None) -> str:
     """The queue's name for a source, as ``null_safe_key`` makes it."""
     return "-" if source is None else "=" + source.replace("\x01", "\x01\x01")
@@ -222,12 +312,12 @@ def _packed(stream: Stream, with_ids: bool) -> Callable:
 
 def _pieces(batch: pa.RecordBatch, stream: Stream, with_ids: bool) -> pa.RecordBatch:
     rows, numbers, crcs, ids = [], [], [], []
-    columns = [batch.column(c).to_pylist() for c in ("queue", "begin", "ids", "width")]
-    for row, (queue, begin, coded, width) in enumerate(zip(*columns, strict=True)):
+    columns = [batch.column(c).to_pylist() for c in ("queue", "begin", "ids", "width", "first", "n")]
+    for row, (queue, begin, coded, width, first, n) in enumerate(zip(*columns, strict=True)):
         wide = np.frombuffer(coded, dtype=f"<u{width}").astype("<u4")
         for start, length, sequence, offset in stream.pieces(queue, begin, len(wide)):
             rows.append(row)
-            numbers.append((start, length, len(wide), sequence, offset))
+            numbers.append((first + start, length, n, sequence, offset))
             own = wide[start : start + length]
             crcs.append(zlib.crc32(own.tobytes()))
             if with_ids:
@@ -283,11 +373,17 @@ def packed(
     stream = Stream(totals, quantum, window, _weights(totals, shares) if named else None)
     queue: Column = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("source")) - 1
     queue = F.when(queue < 0, len(names)).otherwise(queue).cast("int")
-    placed = counts.withColumn("queue", queue)
-    earlier = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.select("source", "part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "part", queue.alias("queue"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     offsets = materialise(offsets, "offsets")
-    joined = coded.join(offsets, ["source", "part"])
-    joined = joined.select("doc_id", "queue", (F.col("before") + F.col("start")).alias("begin"), "ids", "width")
+    joined = coded.join(offsets, ["source", "part"]).withColumn("begin", F.col("before") + F.col("start"))
+    wanted = ("doc_id", "queue", "begin", "ids", "width", "first", "n")
+    ready = joined.withColumn("first", F.lit(0).cast("long")).select(*wanted)
+    if shared:
+        alone = F.col("queue") < len(names)
+        listed = df.sparkSession.createDataFrame([(name,) for name in names], "source string")
+        places = _shared_places(sources.join(F.broadcast(listed), "source", "left_anti"), quantum)
+        own = _by_quanta(joined.where(~alone), materialise(places, "places"), quantum)
+        ready = ready.where(alone).unionByName(own.select(*wanted))
     out = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return joined.mapInArrow(_packed(stream, with_ids), out + (", ids array<int>" if with_ids else ""))
+    return ready.mapInArrow(_packed(stream, with_ids), out + (", ids array<int>" if with_ids else ""))

@@ -218,6 +218,27 @@ def test_queues_beyond_the_most_share_one(spark, monkeypatch):
     check_packing(spark, [(i, "some words here " * (1 + i % 7), f"s{i % 9}") for i in range(90)], window=64, quantum=8)
 
 
+def test_each_of_many_sources_keeps_its_share(spark):
+    """3,000 sources, three times as many as there are queues of their own; one holds a third of all rows."""
+    rows = [(i, "one two three four " * (1 + i % 5), f"s{i // 3}") for i in range(9000)]
+    rows += [(9000 + i, "one two three four " * 3, "hot") for i in range(4500)]
+    got, coded = check_packing(spark, rows, window=4096, quantum=8)
+    source, size = {i: s for i, _, s in rows}, Counter()
+    for _, t, s in rows:
+        size[s] += len(coded[t])
+    total = sum(size.values())
+    windows, had = {}, Counter()
+    for r in got:
+        windows.setdefault(r.sequence_id, Counter())[source[r.doc_id]] += r.length
+    for number in sorted(windows):
+        had.update(windows[number])
+        seen = sum(had.values())
+        off = {s: abs(seen * n / total - had[s]) for s, n in size.items()}
+        # What thousands of roundings leave falls on the large source: under 2 % of a window.
+        assert off.pop("hot") <= 10 * 8 and max(off.values()) <= 2 * 8, number
+    assert len(windows) > 30
+
+
 def plain_vectors(rows, threshold=0.98):
     fit = [i for i, r in enumerate(rows) if r.label is not None and r.embedding and None not in r.embedding
            and np.isfinite(r.embedding).all() and any(r.embedding)]
