@@ -5,18 +5,17 @@ come from the whole corpus. A scan in linear time finds all maximal segments of
 theory says which of them are more than chance in a text of that length. A document's score sums its
 significant segments and is calibrated on labelled documents.
 
-Words and their stems (first ``_STEM`` characters) are hashed into ``BUCKETS`` features, so that the model has a
-fixed size; it is gathered as sums per bucket and handed to the tasks. A word scores like its stem where the stem
-says more: inflected words are too rare to be learned one by one. Labels enter through a sample of at most
-``most_labels`` training rows, the ones with the smallest hashes of their ids: that is the only bounded part.
-Prior, scan and scores cover all documents.
+Features are words and their stems (first ``_STEM`` characters). A word scores like its stem where the stem says more:
+inflected words are too rare to be learned one by one. Labels enter through a sample of at most ``most_labels``
+training rows, the ones with the smallest hashes of their ids: that is the only bounded part. The features of those
+texts are the ones that can be told from chance; they are gathered, counted over all documents for the prior, and the
+ones that are sure get a score. All others say nothing. Prior, scan and scores cover all documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 
 from reviewlens.sources.scratch import materialise
 
-BUCKETS = 1 << 18
 # Mass of the prior in words, cost of a word that says nothing, largest gain or loss of one word.
 _PRIOR, _DRIFT, _CAP = 5000.0, 0.5, 6.0
 # A word counts as far as its log-odds exceed this many standard errors.
@@ -40,9 +38,9 @@ _EULER = 0.5772156649
 
 @dataclass(frozen=True)
 class Model:
-    """Score per bucket, the extreme-value constants and the calibration ``1 / (1 + exp(-(slope * g + shift)))``."""
+    """Scores of features that say something, the extreme-value constants and the calibration ``1 / (1 + exp(-(slope * g + shift)))``."""
 
-    scores: np.ndarray
+    scores: dict[str, float]
     decay: float
     constant: float
     slope: float = 1.0
@@ -53,7 +51,7 @@ class Model:
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                value = max((float(scores[b]) for b in buckets(word)), key=lambda x: abs(x + _DRIFT))
+                value = max((scores.get(f, -_DRIFT) for f in features(word)), key=lambda x: abs(x + _DRIFT))
                 if len(self) < _KEPT_WORDS:
                     self[word] = value
                 return value
@@ -61,13 +59,9 @@ class Model:
         return Known().__getitem__
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
-
-
-def buckets(word: str) -> tuple[int, ...]:
-    """Features of a word: itself, and its stem if it is longer than one."""
-    return (bucket(word), bucket(f"{word[:_STEM]}*")) if len(word) > _STEM else (bucket(word),)
+def features(word: str) -> tuple[str, ...]:
+    """A word itself, and its stem, marked by a star, if it is longer than one."""
+    return (word, f"{word[:_STEM]}*") if len(word) > _STEM else (word,)
 
 
 def segments(gains: np.ndarray) -> list[tuple[float, int, int]]:
@@ -116,27 +110,52 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per bucket: all, toxic, clean."""
-    counts = np.zeros((3, BUCKETS), dtype=np.int64)
-    known: dict[str, tuple[int, ...]] = {}
+def _features_of(text: str | None) -> set[str]:
+    return {f for word in set(_WORD.findall((text or "").lower())) for f in features(word)}
+
+
+def _tally_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled documents per feature: toxic, clean."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            own = set(_WORD.findall((text or "").lower()))
-            at = []
-            for word in own:
-                own_buckets = known.get(word)
-                if own_buckets is None:
-                    own_buckets = buckets(word)
-                    if len(known) < _KEPT_WORDS:
-                        known[word] = own_buckets
-                at += own_buckets
-            at = np.unique(np.array(at, dtype=np.int64))
-            counts[0, at] += 1
-            if toxic in (0, 1):
-                counts[2 - toxic, at] += 1
-    some = np.flatnonzero(counts[0])
-    yield pa.RecordBatch.from_pydict({"bucket": some, "n": counts[0, some], "toxic": counts[1, some], "clean": counts[2, some]})
+            for feature in _features_of(text):
+                counts.setdefault(feature, [0, 0])[1 - toxic] += 1
+    toxic, clean = ([c[i] for c in counts.values()] for i in (0, 1))
+    made = {"feature": pa.array(list(counts), pa.string()), "toxic": pa.array(toxic, pa.int64()), "clean": pa.array(clean, pa.int64())}
+    yield pa.RecordBatch.from_pydict(made)
+
+
+def _tally_all(known: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents per known feature by its place; at -1 the sum over all features, known or not."""
+        place = {feature: i for i, feature in enumerate(known)}
+        counts = np.zeros(len(known) + 1, dtype=np.int64)
+
+        class Places(dict):
+            def __missing__(self, word: str) -> tuple[int, ...]:
+                found = tuple(place.get(f, -1) for f in features(word))
+                if len(self) < _KEPT_WORDS:
+                    self[word] = found
+                return found
+
+        places = Places()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                at: set[int] = set()
+                unknown: set[str] = set()
+                for word in set(_WORD.findall((text or "").lower())):
+                    found = places[word]
+                    at.update(found)
+                    if -1 in found:
+                        unknown.update(f for f, i in zip(features(word), found, strict=True) if i < 0)
+                at.discard(-1)
+                counts[list(at)] += 1
+                counts[-1] += len(at) + len(unknown)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"place": np.where(some == len(known), -1, some), "n": counts[some]})
+
+    return run
 
 
 def _measured(model: Model) -> Callable:
@@ -155,11 +174,13 @@ def _measured(model: Model) -> Callable:
     return run
 
 
-def _log_odds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+def _log_odds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray, everything: float) -> np.ndarray:
     """Log-odds of toxic against clean with prior counts in proportion to the corpus, shrunk by their error."""
-    prior = _PRIOR * n / max(1, n.sum()) + 1e-9
+    prior = _PRIOR * n / max(1.0, everything) + 1e-9
     a, b = toxic + prior, clean + prior
-    ratio = np.log(a / np.maximum(a.sum() - a, 1e-9)) - np.log(b / np.maximum(b.sum() - b, 1e-9))
+    # What is not among these features has a prior only.
+    rest = _PRIOR - prior.sum()
+    ratio = np.log(a / np.maximum(a.sum() + rest - a, 1e-9)) - np.log(b / np.maximum(b.sum() + rest - b, 1e-9))
     return ratio * np.maximum(0.0, 1.0 - _SURE**2 * (1 / a + 1 / b) / np.maximum(ratio**2, 1e-12))
 
 
@@ -197,20 +218,30 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, most_labels:
     sample = materialise(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels), "labels")
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # At most ``most_labels`` rows of two numbers.
-    marked = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "toxic")
-    tallied = marked.mapInArrow(_tally, "bucket bigint, n bigint, toxic bigint, clean bigint")
-    summed = tallied.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).toArrow()
-    counts = np.zeros((3, BUCKETS))
-    at = summed.column("bucket").to_numpy()
-    for i, name in enumerate(("n", "toxic", "clean")):
-        counts[i, at] = summed.column(name).to_numpy()
-    scores = np.clip(_log_odds(*counts), -_CAP, _CAP) - _DRIFT
-    if not counts[1].sum() or not counts[2].sum():
-        scores = np.full(BUCKETS, -_DRIFT)
-    model = Model(scores.astype(np.float32), _decay(scores, counts[2] / max(1.0, counts[2].sum())), 1.0)
-    labelled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    seen = labelled.mapInArrow(_measured(model), "toxic int, g double, passages array<struct<start: bigint, end: bigint, bits: double>>")
-    seen = seen.select("g", "toxic").limit(most_labels).toArrow()
+    labelled = materialise(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    tallied = labelled.select("text", "toxic").mapInArrow(_tally_labelled, "feature string, toxic bigint, clean bigint")
+    # The features of the sample's texts: as many as those hold, whatever the size of the corpus.
+    summed = tallied.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("feature").toArrow()
+    known = summed.column("feature").to_pylist()
+    toxic, clean = (summed.column(name).to_numpy().astype(np.float64) for name in ("toxic", "clean"))
+    everywhere = texts.select("text").mapInArrow(_tally_all(known), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    n, everything = np.zeros(len(known)), 0.0
+    for place, count in zip(*(c.to_pylist() for c in everywhere.toArrow().columns), strict=True):
+        if place < 0:
+            everything = float(count)
+        else:
+            n[place] = count
+    scores = np.clip(_log_odds(n, toxic, clean, everything), -_CAP, _CAP) - _DRIFT
+    if not toxic.sum() or not clean.sum():
+        scores = np.full(len(known), -_DRIFT)
+    sure = {known[i]: float(scores[i]) for i in np.flatnonzero(scores != -_DRIFT)}
+    model = Model(sure, _decay(scores, clean / max(1.0, clean.sum())), 1.0)
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    seen = labelled.mapInArrow(
+        _measured(model), f"doc_id {kind}, toxic int, g double, passages array<struct<start: bigint, end: bigint, bits: double>>"
+    )
+    # One row per labelled id, also where documents share one.
+    seen = seen.groupBy("doc_id").agg(F.max("g").alias("g"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
     g, toxic = seen.column("g").to_numpy(), seen.column("toxic").to_numpy()
     clean = g[(toxic == 0) & (g > -10)]
     if len(clean):  # the mean of a Gumbel variate is its location plus Euler's constant
