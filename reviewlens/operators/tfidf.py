@@ -11,16 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PARTS = 64
+_PART_BYTES = 16 << 20  # text that one task counts
 
 
 def term_counts(docs: DataFrame, key: str, words: Column, *keep: str) -> DataFrame:
     """``(key, *keep, term, tf)`` of ``docs``, which holds only the columns in use.
 
     The texts are shuffled once by ``key``; all later per-document steps stay in that
-    partitioning.
+    partitioning, which has a part for every ``_PART_BYTES`` of text: counting a part takes
+    some forty times its size in memory.
     """
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in docs.dtypes if kind == "string"]
+    size = docs.agg(F.sum(sum(texts, F.lit(0).cast("long")))).first()[0] or 0
+    parts = -(-size // _PART_BYTES)
+    default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        docs.repartition(key)
+        (docs.repartition(parts, key) if parts > default else docs.repartition(key))
         .select(key, *keep, F.explode_outer(words).alias("term"))
         .where(F.col("term").isNotNull())
         .groupBy(key, *keep, "term")
