@@ -92,7 +92,8 @@ def vocabulary_lemmas(vocabulary: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 def plural_lemmas(words: DataFrame, token: str = "token") -> DataFrame:
     """``(token, lemma)`` for words in -s, -es and -ies whose stem is itself among ``words``."""
-    known = words.select(F.col(token).alias("token")).distinct()
+    # Read twice; making it cleans every text.
+    known = materialise(words.select(F.col(token).alias("token")).distinct(), "words")
     endings = [("^(.+)ies$", "y"), ("^(.+)es$", ""), ("^(.+[^s])s$", "")]
     stems = F.array(
         *[

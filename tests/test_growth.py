@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from reviewlens.operators import tfidf
+from reviewlens.functions import text
+from reviewlens.operators import features, tfidf
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_parts_of_term_counts_follow_the_size_of_the_texts(spark, monkeypatch):
@@ -14,3 +19,11 @@ def test_parts_of_term_counts_follow_the_size_of_the_texts(spark, monkeypatch):
     assert many.rdd.getNumPartitions() > 100
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
     assert tfidf.term_counts(docs.limit(0), "key", F.split("text", " +")).count() == 0
+
+
+def test_lemmas_of_plurals_clean_each_text_once(spark):
+    """The words were made from the texts once for the plurals and once for their stems."""
+    texts = spark.createDataFrame([("cats and a cat",), ("boxes in a box",), (None,)], "text string")
+    lemmas = features.plural_lemmas(texts.select(F.explode(text.tokens(F.col("text"))).alias("token")))
+    assert sorted(map(tuple, lemmas.collect())) == [("boxes", "box"), ("cats", "cat")]
+    assert "Generate explode(filter" not in plan_of(lemmas) and "words-" in plan_of(lemmas)
