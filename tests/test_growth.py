@@ -1,9 +1,11 @@
 """Steps whose memory or time grew faster than the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text
 from reviewlens.operators import features, tfidf
+from reviewlens.sources import scratch
 
 
 def plan_of(df):
@@ -27,3 +29,12 @@ def test_lemmas_of_plurals_clean_each_text_once(spark):
     lemmas = features.plural_lemmas(texts.select(F.explode(text.tokens(F.col("text"))).alias("token")))
     assert sorted(map(tuple, lemmas.collect())) == [("boxes", "box"), ("cats", "cat")]
     assert "Generate explode(filter" not in plan_of(lemmas) and "words-" in plan_of(lemmas)
+
+
+@pytest.mark.parametrize("name", ["split_membership", "stratified_split_counts"])
+def test_splits_read_stored_training_rows(spark, small, name):
+    """Quotas, cutoffs and marks each cleaned every text anew."""
+    from workload.registry import QUERIES
+
+    scratch.release(spark)
+    assert "regexp_replace" not in plan_of(QUERIES[name](spark, small))

@@ -380,6 +380,10 @@ def _training_rows(spark, sf_dir):
     return baselines.training_rows(cleaned)
 
 
+def _stored_training_rows(spark, sf_dir):
+    return remembered(spark, f"training rows of {sf_dir}", lambda: _training_rows(spark, sf_dir))
+
+
 @query
 def class_distribution(spark, sf_dir):
     return evaluation.class_distribution(_training_rows(spark, sf_dir), "sentiment")
@@ -387,13 +391,13 @@ def class_distribution(spark, sf_dir):
 
 @query
 def stratified_split_counts(spark, sf_dir):
-    split = stratified_split(_training_rows(spark, sf_dir), "sentiment", "review_id")
+    split = stratified_split(_stored_training_rows(spark, sf_dir), "sentiment", "review_id")
     return split.groupBy("sentiment", "is_test").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query
 def split_membership(spark, sf_dir):
-    split = stratified_split(_training_rows(spark, sf_dir), "sentiment", "review_id")
+    split = stratified_split(_stored_training_rows(spark, sf_dir), "sentiment", "review_id")
     return split.select("review_id", "sentiment", "is_test")
 
 
@@ -471,10 +475,6 @@ def baseline_metrics(spark, sf_dir):
     return baselines.compare_baselines(cleaned)
 
 
-def _stored_training_rows(spark, sf_dir):
-    return remembered(spark, f"training rows of {sf_dir}", lambda: _training_rows(spark, sf_dir))
-
-
 def _bayes(spark, sf_dir):
     """Reviews of the test part with label, prediction and probability of the positive label."""
     split = materialise(stratified_split(_stored_training_rows(spark, sf_dir), "sentiment", "review_id"), "split")
