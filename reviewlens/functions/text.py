@@ -30,11 +30,13 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, _URL, "")
+    # Looking for the bare words is cheaper than trying the pattern at every character.
+    listed = lambda t: t.contains("http") | t.contains("www")
+    return bound(c, lambda t: F.when(listed(t), F.regexp_replace(t, _URL, "")).otherwise(t))
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, _TAG, "")
+    return bound(c, lambda t: F.when(t.contains("<"), F.regexp_replace(t, _TAG, "")).otherwise(t))
 
 
 def squeeze(c: Column) -> Column:

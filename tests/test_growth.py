@@ -38,3 +38,14 @@ def test_splits_read_stored_training_rows(spark, small, name):
 
     scratch.release(spark)
     assert "regexp_replace" not in plan_of(QUERIES[name](spark, small))
+
+
+def test_markup_is_looked_for_before_its_pattern(spark):
+    given = ["no markup", "www", "wwwx y", "see http://a.b/c now", "ht<b>tp://x", "a < b", "a <b> c", "", None, "<\n>", "ttp ww w"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, text string")
+    c = F.col("text")
+    rows = df.select(
+        text.strip_urls(c).alias("a"), F.regexp_replace(c, text._URL, "").alias("b"), text.strip_tags(c).alias("c"), F.regexp_replace(c, text._TAG, "").alias("d")
+    ).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows)
+    assert "contains" in plan_of(df.select(text.strip_urls(c))).lower()
