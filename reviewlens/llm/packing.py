@@ -24,8 +24,11 @@ joined with the places of their quanta; else what is shuffled are counts per (so
 from __future__ import annotations
 
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ QUANTUM = 256
 END_ID = 1
 # Queues at most; sources beyond the largest share the last queue by due times. Bounds what tasks are told.
 MOST_QUEUES = 1024
-_KEPT_CHUNKS = 250_000
+_KEPT_CHUNKS = 500_000
 # Its multiples fill the unit interval evenly.
 _GOLDEN = (5**0.5 - 1) / 2
 # Units that target proportions are rounded to.
@@ -54,6 +57,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _NoChunk(Exception):
+    """White space at the edge of a chunk."""
+
+
 class Encoder:
     """Token ids of texts, as the ``tokenizers`` file says, several times faster on running text.
 
@@ -80,11 +87,18 @@ class Encoder:
             byte_of = _byte_alphabet()
             ranks = {bytes(byte_of[c] for c in token): i for token, i in parts["model"]["vocab"].items() if token not in self._special}
             self._fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = self._encode
+        fast, code = self._fast, "H" if self.width.itemsize == 2 else "I"
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
-                ids = encode(" " + chunk)
+                # A blank next to white space, or at the end, leaves a chunk empty or with white space at its edge.
+                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                    raise _NoChunk
+                # No special token stands in the text, so none in a chunk.
+                own = array(code, fast.encode_ordinary(" " + chunk))
+                if sys.byteorder == "big":
+                    own.byteswap()
+                ids = own.tobytes()
                 if len(self) < _KEPT_CHUNKS:
                     self[chunk] = ids
                 return ids
@@ -101,10 +115,19 @@ class Encoder:
         if self._fast is None or any(s in text for s in self._special):
             return self._encode(text)
         first, *chunks = text.split(" ")
-        # A blank next to white space, or at either end, leaves a chunk empty or with white space at its edge.
-        if not first or any(not c or c[0].isspace() or c[-1].isspace() for c in chunks) or first[-1].isspace():
+        if chunks and (not first or first[-1].isspace()):
+            return self._encode(text)
+        # Chunks are looked at when they are new; those that stand in the table are sound.
+        try:
+            return b"".join([self._encode(first), *map(self._chunk, chunks)])
+        except _NoChunk:
             return self._encode(text)
-        return b"".join([self._encode(first), *map(self._chunk, chunks)])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs: its tables and chunks are made once."""
+    return Encoder(path)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -116,7 +139,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 def _tokenised(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = _encoder(path)
         end = np.array([END_ID], dtype=encode.width).tobytes()
         part, before = TaskContext.get().partitionId(), {}
         for batch in batches:
