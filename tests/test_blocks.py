@@ -91,3 +91,26 @@ def test_pairs_below_the_threshold_leave_no_rows(spark):
     found = blocks.compared(bags.withColumn("known", F.lit(False)), similarity.THRESHOLD, 1000)
     assert found.count() == 0
     assert similarity.near_duplicate_ids(docs).count() == 0
+
+
+def test_blocks_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """Every block was shuffled once per other block, so the disk in use grew with the square of the vectors."""
+    monkeypatch.setattr(blocks, "_BLOCK_ENTRIES", 300)
+    rows = [(i, False, v) for i, v in enumerate(some_vectors(3))]
+    df = spark.createDataFrame(rows, "bag long, known boolean, vector map<int,double>")
+    found = blocks.compared(df, 0.9, 50)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() > 6
+    assert {r.left for r in found.collect()} == with_partner([v for _, _, v in rows], 0.9)
+
+
+def test_partners_share_the_terms_that_are_needed():
+    vectors = some_vectors(6)
+    at = np.concatenate(([0], np.cumsum([len(v) for v in vectors])))
+    ranks, weights = [r for v in vectors for r in v], [w for v in vectors for w in v.values()]
+    block = blocks._Block(np.arange(len(vectors)), np.zeros(len(vectors), bool), at, np.array(ranks, "i4"), np.array(weights, "f4"))
+    needed = blocks._needed(block, 0.9)
+    for i, a in enumerate(vectors):
+        heaviest = np.cumsum(sorted((w * w for w in a.values()), reverse=True))
+        assert needed[i] == 1 + np.count_nonzero(heaviest < (0.9 - blocks._BOUND_SLACK) ** 2)
+        assert all(len(a.keys() & b.keys()) >= needed[i] for b in vectors if cosine(a, b) > 0.9)

@@ -112,3 +112,21 @@ def test_threshold_is_a_parameter(spark):
     texts = ["aa bb cc dd", "aa bb cc ee", "ff gg hh ii"]
     assert flagged_ids(spark, texts, threshold=0.3) == {0, 1}
     assert flagged_ids(spark, texts, threshold=0.99) == set()
+
+
+def test_texts_are_stored_as_numbers_and_rows_of_a_key_are_one_document(spark):
+    """The texts were shuffled to be counted, and weights of eight bytes were stored twice and shuffled five times."""
+    rows = [("1", "red blue red"), ("2", "blue"), ("2", "red"), (None, "green red"), (None, "green"), ("3", "green green red"), ("4", "--")]
+    docs = spark.createDataFrame(rows, "review_id string, review_text string")
+    coded, idf = similarity.coded_documents(docs, "review_id", "review_text")
+    terms = ["red", "green", "blue"]  # by total count
+    found = {r.review_id: (sorted(zip((terms[i] for i in r["rank"]), r["tf"])), bytes(r.bag_hash)) for r in coded.collect()}
+    assert {key: counts for key, (counts, _) in found.items()} == {
+        "1": [("blue", 1), ("red", 2)],
+        "2": [("blue", 1), ("red", 1)],
+        None: [("green", 2), ("red", 1)],
+        "3": [("green", 2), ("red", 1)],
+    }
+    assert found[None][1] == found["3"][1] and len({digest for _, digest in found.values()}) == 3
+    assert idf == pytest.approx([math.log(8 / (1 + df)) + 1 for df in (4, 2, 2)])
+    assert "Exchange" not in similarity.document_vectors(docs, "review_id", "review_text")._jdf.queryExecution().executedPlan().toString()
