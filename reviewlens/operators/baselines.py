@@ -134,4 +134,5 @@ def compare_baselines(
     rows = materialise(training_rows(reviews, key, text), "training")
     split = stratified_split(rows, "sentiment", key, test_share, seed)
     models = fit_baselines(split.where(~F.col("is_test")), max_features)
-    return metrics_table(predict(models, split.where("is_test")))
+    # The measures read the predictions several times.
+    return metrics_table(materialise(predict(models, split.where("is_test")), "predictions"))

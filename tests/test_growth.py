@@ -49,3 +49,13 @@ def test_markup_is_looked_for_before_its_pattern(spark):
     ).collect()
     assert all(r.a == r.b and r.c == r.d for r in rows)
     assert "contains" in plan_of(df.select(text.strip_urls(c))).lower()
+
+
+def test_baseline_measures_read_stored_predictions(spark):
+    """Every measure made features and predictions of all three models anew."""
+    from reviewlens.operators import baselines
+
+    rows = [(str(i), "good fine app" if i % 2 else "bad poor app", 5.0 if i % 2 else 1.0) for i in range(60)]
+    reviews = spark.createDataFrame(rows, "review_id string, clean_text string, star_rating double")
+    plan = plan_of(baselines.compare_baselines(reviews))
+    assert "predictions-" in plan and "UDF" not in plan
