@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text
-from reviewlens.operators import features, tfidf
+from reviewlens.operators import anomalies, features, similarity, tfidf
+from reviewlens.plans import reports
 from reviewlens.sources import scratch
+from workload import registry, views
 
 
 def plan_of(df):
@@ -59,3 +61,39 @@ def test_baseline_measures_read_stored_predictions(spark):
     reviews = spark.createDataFrame(rows, "review_id string, clean_text string, star_rating double")
     plan = plan_of(baselines.compare_baselines(reviews))
     assert "predictions-" in plan and "UDF" not in plan
+
+
+def test_flags_look_for_near_duplicates_once(spark, small, monkeypatch):
+    """Every query on flags looked for near-duplicates again, and left its tables behind."""
+    scratch.release(spark)
+    calls, found = [], reports.near_duplicate_ids
+    monkeypatch.setattr(reports, "near_duplicate_ids", lambda *a: calls.append(1) or found(*a))
+    assert registry.QUERIES["reviews_total"](spark, small).count() == 1
+    assert registry.QUERIES["trends_daily"](spark, small).count() > 0
+    assert len(calls) == 1
+    scratch.release(spark)
+
+
+def test_tables_on_the_way_to_near_duplicates_are_deleted(spark):
+    docs = spark.createDataFrame([(str(i), f"word{i // 2} again and again") for i in range(8)], "review_id string, review_text string")
+    scratch.release(spark)
+    ids = similarity.near_duplicate_ids(docs)
+    assert ids.count() == 8
+    assert scratch.release(spark) == 1
+
+
+def test_an_outcome_keeps_remembered_tables(spark):
+    scratch.release(spark)
+    one = lambda: scratch.remembered(spark, "one", lambda: scratch.materialise(spark.range(1), "way"))
+    two = scratch.outcome("two", lambda: scratch.outcome("inner", lambda: one().union(scratch.materialise(spark.range(1), "way"))))
+    assert two.count() == 2 and one().count() == 1
+    scratch.release(spark)
+
+
+def test_flags_do_not_move_texts(spark, small):
+    reviews = views.reviews(spark, small)
+    ids = reviews.select("review_id")
+    flags = anomalies.flag_spam(reviews, ids.hint("shuffle_merge")).select("review_id", "is_spam")
+    join = flags._jdf.queryExecution().optimizedPlan().children().head()
+    assert "Join" in join.nodeName()
+    assert "review_text" not in join.output().mkString(",")
