@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import text
 from reviewlens.operators import anomalies, features, similarity, tfidf
 from reviewlens.plans import reports
-from reviewlens.sources import scratch
+from reviewlens.sources import paged, scratch
 from workload import registry, views
 
 
@@ -97,3 +97,17 @@ def test_flags_do_not_move_texts(spark, small):
     join = flags._jdf.queryExecution().optimizedPlan().children().head()
     assert "Join" in join.nodeName()
     assert "review_text" not in join.output().mkString(",")
+
+
+def test_pages_of_given_ranges_are_stored_once(spark, tmp_path):
+    scratch.release(spark)
+    paged.write_paged(spark.range(50).withColumnRenamed("id", "seq"), "seq", str(tmp_path / "paged"), ranges=4)
+    assert [r.seq for r in paged.read_page(spark, str(tmp_path / "paged"), "seq", 2, 5).collect()] == [5, 6, 7, 8, 9]
+    assert scratch.release(spark) == 0
+
+
+def test_bucketed_reviews_leave_no_tables_in_the_catalog(spark, small):
+    before = {t.name for t in spark.catalog.listTables()}
+    view = registry.QUERIES["reviews_bucketed"](spark, small)
+    assert view.count() == views.reviews(spark, small).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
