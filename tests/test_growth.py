@@ -82,6 +82,22 @@ def test_tables_on_the_way_to_near_duplicates_are_deleted(spark):
     assert scratch.release(spark) == 1
 
 
+def test_blocks_are_deleted_once_they_are_compared(spark, monkeypatch):
+    """They stood beside the shuffles of the last checks."""
+    docs = spark.createDataFrame([(str(i), f"one more word{i} than others") for i in range(8)], "review_id string, review_text string")
+    there, found = [], similarity.verified_pairs
+
+    def looked(*args):
+        there.append([path for path in scratch._WRITTEN[spark.sparkContext.applicationId] if "/blocks-" in path])
+        return found(*args)
+
+    scratch.release(spark)
+    monkeypatch.setattr(similarity, "verified_pairs", looked)
+    similarity.near_duplicate_ids(docs).count()
+    assert there == [[], []]
+    scratch.release(spark)
+
+
 def test_an_outcome_keeps_remembered_tables(spark):
     scratch.release(spark)
     one = lambda: scratch.remembered(spark, "one", lambda: scratch.materialise(spark.range(1), "way"))
