@@ -1,10 +1,12 @@
-"""Steps whose memory or time grew faster than the tables."""
+"""Steps whose memory, disk or time grew faster than the tables."""
+
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text
-from reviewlens.operators import anomalies, features, similarity, tfidf
+from reviewlens.operators import anomalies, blocks, features, similarity, tfidf
 from reviewlens.plans import reports
 from reviewlens.sources import paged, scratch
 from workload import registry, views
@@ -127,3 +129,35 @@ def test_bucketed_reviews_leave_no_tables_in_the_catalog(spark, small):
     view = registry.QUERIES["reviews_bucketed"](spark, small)
     assert view.count() == views.reviews(spark, small).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in found.mkString(",").split(",") if "/shuffle_" in name}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """They stood until the driver collected garbage, which a driver with little to do may never do."""
+    setting, before = spark.conf.get(scratch._CLEANUP), shuffle_files(spark)
+    table = scratch.materialise(spark.range(100).repartition(3), "table")
+    until = time.monotonic() + 10
+    while shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(scratch._CLEANUP) == setting
+    assert table.count() == 100
+
+
+def test_coded_texts_are_deleted_once_bags_stand(spark, monkeypatch):
+    """Term numbers of every document stood beside those of the bags until the end."""
+    docs = spark.createDataFrame([(str(i % 7), f"one more word{i} than others") for i in range(8)], "review_id string, review_text string")
+    there, found = [], blocks.compared
+
+    def looked(*args):
+        there.extend(path.rsplit("/", 1)[1].split("-")[0] for path in scratch._WRITTEN[spark.sparkContext.applicationId])
+        return found(*args)
+
+    scratch.release(spark)
+    monkeypatch.setattr(blocks, "compared", looked)
+    assert similarity.near_duplicate_ids(docs).count() == 0
+    assert "bags" in there and "members" in there and "coded" not in there
+    assert scratch.release(spark) == 1
