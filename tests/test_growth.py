@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import text
 from reviewlens.operators import anomalies, blocks, features, similarity, tfidf
-from reviewlens.plans import reports
+from reviewlens.plans import dashboard, reports
 from reviewlens.sources import paged, scratch
 from workload import registry, views
 
@@ -161,3 +161,15 @@ def test_coded_texts_are_deleted_once_bags_stand(spark, monkeypatch):
     assert similarity.near_duplicate_ids(docs).count() == 0
     assert "bags" in there and "members" in there and "coded" not in there
     assert scratch.release(spark) == 1
+
+
+def test_a_page_moves_no_text_beyond_its_end(spark):
+    """All texts after the last row seen went through the joins for a page of them."""
+    raw = spark.createDataFrame([(i, f"r{i}", f"text {i}") for i in [None, None, *range(40), 7]], "seq long, review_id string, review_text string")
+    label = raw.select("review_id").distinct().withColumn("label", F.when(F.col("review_id") != "r9", "x"))
+    matching = raw.join(label.hint("shuffle_merge"), "review_id", "left").where("label = 'x'")
+    for last, seqs in ((None, [None, None, 0, 1, 2, 3]), (5, [6, 7, 7, 8, 10, 11]), (37, [38, 39]), (39, [])):
+        page = dashboard.reviews_after(matching, "seq", last, 6)
+        assert [r.seq for r in page.collect()] == seqs
+        plan = page._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join ") < plan.index("scalar-subquery")
