@@ -173,3 +173,14 @@ def test_a_page_moves_no_text_beyond_its_end(spark):
         assert [r.seq for r in page.collect()] == seqs
         plan = page._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Join ") < plan.index("scalar-subquery")
+
+
+def test_the_summary_stores_no_texts(spark, small):
+    """It wrote both texts of every review to read two short columns of them."""
+    scratch.release(spark)
+    alone = registry.QUERIES["summary"](spark, small).collect()
+    assert not [name for _, name in scratch.KEPT if name.startswith("scored reviews")]
+    registry.QUERIES["aspect_summary"](spark, small).collect()
+    again = registry.QUERIES["summary"](spark, small)
+    assert "kept-" in plan_of(again) and again.collect() == alone
+    scratch.release(spark)
