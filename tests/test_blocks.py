@@ -114,3 +114,54 @@ def test_partners_share_the_terms_that_are_needed():
         heaviest = np.cumsum(sorted((w * w for w in a.values()), reverse=True))
         assert needed[i] == 1 + np.count_nonzero(heaviest < (0.9 - blocks._BOUND_SLACK) ** 2)
         assert all(len(a.keys() & b.keys()) >= needed[i] for b in vectors if cosine(a, b) > 0.9)
+
+
+@pytest.mark.parametrize("count", [*range(1, 12), 16, 33])
+def test_every_two_blocks_meet_once_in_the_rounds(count):
+    """Each block has one task in all rounds but the last, which is what makes its file of known vectors safe."""
+    rounds = blocks._rounds(count)
+    met = [tuple(sorted((i, j))) for meetings in rounds for i, others in meetings for j in others]
+    assert sorted(met) == [(i, j) for i in range(count) for j in range(i, count)]
+    assert all(sorted(i for i, _ in meetings) == list(range(count)) for meetings in rounds[:-1])
+
+
+def test_vectors_far_apart_and_known_ones_are_not_compared(monkeypatch):
+    """Every pair of two blocks was bounded, whatever the terms of the two and also where a round before had found both."""
+    monkeypatch.setattr(blocks, "_ROWS", 16)
+    rng = random.Random(4)
+    vectors = []
+    for number in range(120):
+        low = 100 * (number % 3)
+        vectors.append(unit({low: 3.0} | {low + rng.randrange(1, 60): rng.uniform(0.5, 1) for _ in range(8)}))
+    vectors += [unit({r: w * rng.uniform(0.9, 1.1) for r, w in v.items()}) for v in vectors[:40]]
+    at = np.concatenate(([0], np.cumsum([len(v) for v in vectors])))
+    ranks, weights = [r for v in vectors for r in v], [w for v in vectors for w in v.values()]
+    block = blocks._Block(np.arange(len(vectors)), np.zeros(len(vectors), bool), at, np.array(ranks, "i4"), np.array(weights, "f4"))
+    directions = np.zeros((300, 3))
+    directions[[0, 100, 200], [0, 1, 2]] = 1
+    place = blocks._laid_out(block, directions)
+    apart = np.sum((place[:, None] - place[None]) ** 2, axis=2)
+    assert all(apart[i, j] <= 2 - 2 * cosine(a, b) + blocks._PLACE_SLACK for i, a in enumerate(vectors) for j, b in enumerate(vectors))
+    order, tile = blocks._tiles(np.diff(at), place)
+    assert sorted(order) == list(range(len(vectors))) and np.bincount(np.unique(tile, return_inverse=True)[1]).max() <= 16
+    alike = blocks._tiles(np.ones(5000, int), np.ones((5000, 2), "f4"))[1]  # vectors of one place fill their tiles
+    assert len(np.unique(alike)) <= 2 * 5000 / 16
+    rows = [vectors[i] for i in order]
+    at = np.concatenate(([0], np.cumsum([len(v) for v in rows])))
+    ranks, weights = [r for v in rows for r in v], [w for v in rows for w in v.values()]
+    known = np.zeros(len(rows), bool)
+    block = blocks._Block(order, known, at, np.array(ranks, "i4"), np.array(weights, "f4"), tile=tile, place=place[order])
+    bounded, left = [], blocks._left
+
+    def counted(a, own_rows, b, columns, *others):
+        bounded.append(len(own_rows) * len(columns))
+        return left(a, own_rows, b, columns, *others)
+
+    monkeypatch.setattr(blocks, "_left", counted)
+    list(blocks._compared(block, block, 0.9, 50))
+    assert set(order[block.known].tolist()) == with_partner(vectors, 0.9)
+    assert 0 < sum(bounded) < len(vectors) ** 2 / 3
+    bounded.clear()
+    block.known[:] = True
+    list(blocks._compared(block, block, 0.9, 50))
+    assert not bounded

@@ -130,3 +130,23 @@ def test_texts_are_stored_as_numbers_and_rows_of_a_key_are_one_document(spark):
     assert found[None][1] == found["3"][1] and len({digest for _, digest in found.values()}) == 3
     assert idf == pytest.approx([math.log(8 / (1 + df)) + 1 for df in (4, 2, 2)])
     assert "Exchange" not in similarity.document_vectors(docs, "review_id", "review_text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_by_the_text_and_signatures_need_no_row_per_term(spark, monkeypatch):
+    """A row per word was made to count words, and signatures took longer than all other steps before the comparison but two."""
+    seen, written = [], similarity.materialise
+
+    def looked(df, name, *others):
+        seen.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, name, *others)
+
+    monkeypatch.setattr(similarity, "materialise", looked)
+    texts = ["one two three four five six", "six five four three two one seven", "another text of words", None, "", "one one one"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, review_text string")
+    coded, idf = similarity.coded_documents(docs, "review_id", "review_text")
+    assert all("Generate" not in plan for name, plan in seen if name == "terms")
+    bags = similarity.collapse_bags(coded, "review_id").cache()
+    pairs = {frozenset((r.left, r.right)) for r in similarity.witness_pairs(bags, idf).collect()}
+    place = {r.first_id: r.bag for r in bags.collect()}
+    assert any(frozenset((place["0"], place["1"])) == p for p in pairs)
+    assert all("array_sort" not in plan and "transform" not in plan for name, plan in seen if name == "signatures")
