@@ -17,6 +17,7 @@ from reviewlens.functions.rules import weak_label, weak_label_index
 from reviewlens.functions.text import WORD
 from reviewlens.operators.evaluation import accuracy_and_macro_f1, roc_auc
 from reviewlens.operators.keys import stratified_split
+from reviewlens.operators.scoring import without_summaries
 from reviewlens.sources.scratch import materialise
 
 MAX_FEATURES = 50_000
@@ -94,7 +95,7 @@ def predict(models: Mapping[str, PipelineModel], test: DataFrame) -> DataFrame:
     """``(model, label, prediction, is_positive, score)`` of all models on the test rows."""
     parts = []
     for name, model in models.items():
-        scored = model.transform(test)
+        scored = without_summaries(model).transform(test)
         column = "probability" if "probability" in scored.columns else "rawPrediction"
         parts.append(
             scored.select(

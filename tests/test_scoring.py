@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewlens.operators import anomalies, scoring
@@ -55,6 +56,13 @@ def test_pipeline(spark):
     assert {k: v[0] for k, v in labels(scored).items()} == {"0": "Positive", "1": "Negative"}
 
 
+def test_pipeline_in_a_session_that_has_observed_rows(spark):
+    """The summary of the training held the session, whose observations cannot be sent to tasks."""
+    seen = Observation("seen")
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3
+    test_pipeline(spark)
+
+
 def test_mismatch_report(spark):
     rows = [
         (0, "0", "a", "I love this great app", 1.0),
